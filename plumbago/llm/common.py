@@ -7,6 +7,7 @@ A null text counts as the empty text; a null id is kept and sorts first.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+_local: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +55,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors see; a local one only where the cluster names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="plumbago-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        atexit.register(_remove, spark, folder)
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="plumbago-"))
+            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+        folder = "file://" + _local[0]
     return folder.rstrip("/")
 
 

@@ -7,15 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbago.llm import pieces
+from plumbago.llm import pieces, token_files
 from plumbago.llm.common import documents
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.encode_to_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.checksums(spark, files)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_files": op2_token_files,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
