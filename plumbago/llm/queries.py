@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbago.llm import pieces, token_files
+from plumbago.llm import pieces, substrings, token_files
 from plumbago.llm.common import documents
 
 
@@ -16,12 +17,18 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(spark, files)
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeated(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
+    "op3_substrings": op3_substrings,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
