@@ -30,3 +30,30 @@ def removed_words(docs, window=50):
                 gone[s : s + window] = [True] * window
         out[i] = (len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone) if not g)))
     return out
+
+
+def least_reachable(nodes, close):
+    """node -> least node of its component, links given by close(a, b)."""
+    nodes, root = sorted(nodes), {}
+    for x in nodes:
+        if x not in root:
+            todo = [x]
+            root[x] = x
+            while todo:
+                a = todo.pop()
+                for b in nodes:
+                    if b not in root and close(a, b):
+                        root[b] = x
+                        todo.append(b)
+    return root
+
+
+def simhash(text, shingle=3):
+    import xxhash
+
+    w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if not w:
+        return 0
+    parts = [" ".join(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))]
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
