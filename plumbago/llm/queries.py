@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbago.llm import pieces, simhash, substrings, token_files
+from plumbago.llm import lines, pieces, simhash, substrings, token_files
 from plumbago.llm.common import documents
 
 
@@ -27,6 +27,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lines.deduplicate_lines(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")))
 
@@ -35,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_substrings": op3_substrings,
     "op5_simhash": op5_simhash,
+    "op6_lines": op6_lines,
     "op10_sentencepiece": op10_sentencepiece,
 }
 

@@ -57,3 +57,22 @@ def simhash(text, shingle=3):
     parts = [" ".join(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))]
     h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in parts]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def line_chunks_removed(docs, chunks):
+    """doc_id -> text without chunks of lines met before, for unique ids; chunks(lines) gives the cuts."""
+    seen, out = set(), {}
+    for i, t in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0)):
+        if t is None:
+            out[i] = None
+            continue
+        lines, left = t.split("\n"), []
+        for a, b in chunks([x.encode() for x in lines]):
+            body = tuple(lines[a:b])
+            if sum(1 for x in body if words(x)) > 1:
+                if body in seen:
+                    continue
+                seen.add(body)
+            left += body
+        out[i] = "\n".join(left)
+    return out
