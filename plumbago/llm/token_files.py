@@ -16,9 +16,8 @@ each is verified by its checksum. Any Zstandard decoder can read the file.
 Files hold ascending document ids (nulls first, equal ids by text), file by
 file; the manifest has one row per file, with the tokens before it.
 
-Tokenizing is per word: the vocabulary's pre-tokenizer never crosses white
-space, which is checked when it is loaded, so distinct words are encoded once
-per worker by the tokenizers library.
+The tokenizers library encodes; where its pre-tokenizer is the known one that
+never crosses white space, each distinct word is encoded once per worker.
 
 Edge cases: null and empty texts give the end id alone; very long texts one
 long frame; equal ids stay separate documents; an empty table gives no file
@@ -27,6 +26,7 @@ and an empty result; columns other than id and text are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -46,11 +46,22 @@ from plumbago.llm.common import arrow_rows, fresh_path, id_text
 INDEX_MAGIC, TABLE_MAGIC, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CACHED, CACHED_BYTES = 1_000_000, 48
 MANIFEST = "path string, part int, n_docs long, n_tokens long"
+PUNCTUATED = re.compile(rb"(?<=[A-Za-z0-9])([.,;:!?])")
 _loaded: dict[str, "WordTokenizer"] = {}
 
 
+#: Fixed value: the pre-tokenizer pattern for which words may be encoded one by one.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class WordTokenizer:
-    """Ids of whole texts, each distinct word encoded once."""
+    """Ids of whole texts, each distinct word encoded once.
+
+    The pattern matches no white space, and splits ASCII letters and digits
+    from a following mark of punctuation; so words and such marks are encoded
+    apart, in ASCII lower case where the normaliser lower-cases anyway. New
+    words are encoded many at a time, joined by a special token.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -59,35 +70,52 @@ class WordTokenizer:
         self.library.no_padding()
         self.library.no_truncation()
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.by_word = self._words_are_independent()
+        spec = json.loads(self.library.to_str())
+        pre, plain = spec["pre_tokenizer"] or {}, spec["normalizer"] or {}
+        first = (pre.get("pretokenizers") or [pre])[0]
+        self.by_word = first.get("type") == "Split" and first.get("pattern") == {"Regex": WORD_PATTERN} and (first["behavior"], first["invert"]) == ("Removed", True)
+        self.lower = any(x["type"] == "Lowercase" for x in plain.get("normalizers", [plain]) if x)
+        marks = [x for x in spec["added_tokens"] if x["special"] and not (x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"])]
+        self.by_word = self.by_word and bool(marks) and len(marks) == len(spec["added_tokens"])
+        self.specials = [x["content"].encode().lower() for x in marks]
+        self.mark, self.mark_id = (marks[0]["content"], marks[0]["id"]) if marks else ("", -1)
         self.ids: dict[bytes, bytes] = {}
 
-    def _words_are_independent(self) -> bool:
-        pre = self.library.pre_tokenizer
-        probe = ["ab", "c'd", "1", "é", "!?"]
-        whole = self.library.encode(" ".join(probe), add_special_tokens=False).ids
-        return pre is not None and re.search(r"Removed|Whitespace", repr(pre)) is not None and whole == sum((self.library.encode(w, add_special_tokens=False).ids for w in probe), [])
-
     def pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
+    def encode(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
     def learn(self, new: Iterable[bytes]) -> None:
         new = list(new)
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.library.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                self.ids[w] = self.pack(e.ids)
+        for k in range(0, len(new), 200):
+            part, at = new[k : k + 200], 0
+            ids = [*self.encode(self.mark.join([w.decode() for w in part])), self.mark_id]
+            for w in part:
+                end = ids.index(self.mark_id, at)
+                self.ids[w] = self.pack(ids[at:end])
+                at = end + 1
+
+    def cut(self, text: bytes) -> list[bytes]:
+        return PUNCTUATED.sub(rb" \1", text.lower() if self.lower else text).split()
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
-            return [self.pack(e.ids) for e in self.library.encode_batch(texts, add_special_tokens=False)]
-        cut = [t.encode().split() for t in texts]  # ASCII white space only
+        out: list[bytes | None] = [None] * len(texts)
+        cut: dict[int, list[bytes]] = {}
+        for k, text in enumerate(texts):
+            raw = text.encode()
+            if self.by_word and not any(x in raw.lower() for x in self.specials):
+                cut[k] = self.cut(raw)
+            else:
+                out[k] = self.pack(self.encode(text))
         if len(self.ids) > CACHED:
             self.ids.clear()
-        new = set().union(*cut).difference(self.ids)
+        new = set().union(*cut.values()).difference(self.ids)
         self.learn(new)
         known = self.ids.__getitem__
-        out = [b"".join(map(known, x)) for x in cut]
+        for k, x in cut.items():
+            out[k] = b"".join(map(known, x))
         for w in new:
             if len(w) > CACHED_BYTES:
                 del self.ids[w]
