@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbago.llm import lines, pieces, simhash, substrings, token_files
+from plumbago.llm import lines, pieces, simhash, substrings, token_files, toxicity, weak_quality
 from plumbago.llm.common import documents
 
 
@@ -32,6 +32,16 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op9_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return weak_quality.score(docs, weak_quality.fit(docs))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")))
 
@@ -41,6 +51,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substrings": op3_substrings,
     "op5_simhash": op5_simhash,
     "op6_lines": op6_lines,
+    "op7_toxicity": op7_toxicity,
+    "op9_weak_quality": op9_weak_quality,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
