@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbago.llm import lines, pieces, simhash, substrings, token_files, toxicity, weak_quality
+from plumbago.llm import lines, pieces, quality_rules, simhash, sql, substrings, token_files, toxicity, weak_quality
 from plumbago.llm.common import documents
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(documents(spark, sf_dir))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.encode_to_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return token_files.checksums(spark, files)
@@ -47,6 +51,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_token_files": op2_token_files,
     "op3_substrings": op3_substrings,
     "op5_simhash": op5_simhash,
@@ -56,4 +61,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": sql.QUALITY_RULES,
+}
