@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbago.llm import lines, pieces, quality_rules, simhash, sql, substrings, token_files, toxicity, weak_quality
+from plumbago.llm import lines, one_permutation, pieces, quality_rules, simhash, sql, substrings, token_files, toxicity, weak_quality
 from plumbago.llm.common import documents
 
 
@@ -41,6 +41,19 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = one_permutation.edited(documents(spark, sf_dir))
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        one_permutation.text_of(F.col("packed")).alias("fingerprint"),
+        one_permutation.text_of(F.col("edited_packed")).alias("edited_fingerprint"),
+        one_permutation.likeness(F.col("packed"), F.col("edited_packed")).alias("near_edited"),
+        one_permutation.likeness(F.col("packed"), F.col("next_packed")).alias("near_next"),
+    )
+
+
 def op9_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return weak_quality.score(docs, weak_quality.fit(docs))
@@ -57,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_lines": op6_lines,
     "op7_toxicity": op7_toxicity,
+    "op8_fingerprints": op8_fingerprints,
     "op9_weak_quality": op9_weak_quality,
     "op10_sentencepiece": op10_sentencepiece,
 }
