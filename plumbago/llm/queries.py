@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbago.llm import lines, one_permutation, pieces, quality_rules, simhash, sql, substrings, token_files, toxicity, weak_quality
+from plumbago.llm import lines, mixing, one_permutation, pieces, quality_rules, simhash, sql, substrings, token_files, toxicity, weak_quality
 from plumbago.llm.common import documents
 
 
@@ -26,6 +26,10 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(*mixing.mix(documents(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = simhash.linked_components(documents(spark, sf_dir))
     return linked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_files": op2_token_files,
     "op3_substrings": op3_substrings,
+    "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
     "op6_lines": op6_lines,
     "op7_toxicity": op7_toxicity,
