@@ -1,4 +1,10 @@
-"""A corpus pipeline: each stage's Parquet output is the next stage's documents."""
+"""A corpus pipeline: each stage's Parquet output is the next stage's documents.
+
+Toxic documents go; chunks of lines that repeat across documents are cut; of
+each group of near-duplicates one document stays; documents are drawn to the
+sources' target weights, some twice; what is drawn is encoded and decoded.
+All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +12,46 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbago.llm import pieces
+from plumbago.llm import lines, mixing, pieces, simhash, toxicity
 from plumbago.llm.common import documents, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.without_toxic(docs, model)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    cut = lines.deduplicate_lines(docs, keep=kept)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.first_of_each(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
-STAGES: list[tuple[str, Stage]] = [("sentencepiece", tokens)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", without_toxic),
+    ("line_dedup", without_repeated_lines),
+    ("near_dedup", one_of_each_group),
+    ("mixing", mixed),
+    ("sentencepiece", tokens),
+]
+
+#: Trained, hashed and rolling steps have no SQL; tests compare each stage with a plain version.
 ORACLE_SQL = None
 
 
@@ -26,5 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, name)
+            docs = written(docs, f"stage-{name}")
     return docs
