@@ -46,6 +46,11 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(F.col(text_col)).alias("text"))
 
 
+def sampled(key: Column, of: int, sample: int) -> Column:
+    """Whether a hash falls into the share that takes about `sample` of `of` rows: all rows if they are no more."""
+    return F.lit(True) if of <= sample else F.shiftrightunsigned(key, 11) < int(sample / of * (1 << 53))
+
+
 def arrow_rows(spark: SparkSession, rows: int = 500) -> None:
     """Small Arrow batches: some texts are very long, and a batch is held whole in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

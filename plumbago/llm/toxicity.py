@@ -6,8 +6,8 @@ the text, 1 where present: its words, and their first four and first five
 letters. The expected severity is the sum of P(grade > k) over k; a text is
 toxic if P(grade > 0) > 1/2.
 
-Training. A bounded sample of labelled documents (`sample`, by a hash of the
-id) is graded: 0 if the label says clean; labelled toxic texts are ranked by
+Training. A bounded sample of labelled documents (about `sample`, by a hash of
+the id) is graded: 0 if the label says clean; labelled toxic texts are ranked by
 how many different telling features they have, in three equal parts.
 Telling features are those `ratio` times as often among toxic as among clean
 documents with a log-likelihood ratio of at least `evidence`, which chance
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbago.llm.common import arrow_rows, id_text, written
+from plumbago.llm.common import arrow_rows, id_text, sampled, written
 
 WORD = re.compile(r"\w+")
 DIMENSIONS, GRADES = 1 << 20, 4
@@ -102,11 +102,11 @@ def _fit(x: list[np.ndarray], y: np.ndarray, n: int, rounds: int = 400, decay: f
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, evidence: float = EVIDENCE, ratio: float = RATIO, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Severity:
-    """Fit on at most `sample` labelled documents. The driver receives counts of at most DIMENSIONS features, and the telling ones of each sampled document."""
+    """Fit on about `sample` labelled documents. The driver receives counts of at most DIMENSIONS features, and the telling ones of each sampled document."""
     spark = docs.sparkSession
     arrow_rows(spark)
     marked = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("i").agg(F.max("y").alias("y"))
-    chosen = marked.orderBy(F.xxhash64("i"), "i").limit(sample)
+    chosen = marked.where(sampled(F.xxhash64("i"), marked.count(), sample))
     rows = written(id_text(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("i")).select("y", "text"), "labelled")
 
     def all_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

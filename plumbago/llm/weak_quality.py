@@ -13,7 +13,7 @@ no labelled data. Each pattern then has a posterior probability of good.
 Scorer. Logistic regression with the posteriors as soft labels, on features of
 the text hashed into DIMENSIONS slots: frequencies of pairs of byte classes,
 and the deciles of a few ratios. It is fitted on a bounded sample (`sample`,
-by a hash of the id and text) and scores every document; kept means 1/2 or more.
+in expectation, by a hash of the id and text) and scores every document; kept means 1/2 or more.
 
 Edge cases: a null or empty text has no votes and no features but the bias; a
 table of which every text has the same votes is scored by the prior alone;
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbago.llm.common import arrow_rows, id_text
+from plumbago.llm.common import arrow_rows, id_text, sampled
 
 LABELLERS = ("marks", "letters", "capitals", "shouts", "length", "pairs", "stutter", "lines", "prose")
 DIMENSIONS, SAMPLE = 4096, 8000
@@ -151,7 +151,7 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, ro
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
-    """The driver receives counts of vote patterns over all documents, and votes and features of at most `sample`."""
+    """The driver receives counts of vote patterns over all documents, and votes and features of about `sample`."""
     arrow_rows(docs.sparkSession)
     base = id_text(docs, id_col, text_col)
 
@@ -170,8 +170,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
 
     counts = base.select("text").mapInArrow(vote, "pattern string").groupBy("pattern").count().collect()
     _, _, posterior = label_model({tuple(map(int, r["pattern"])): r["count"] for r in counts})
-    chosen = base.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample).select("text")
-    got = chosen.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(describe, "pattern string, slots array<int>, parts array<double>").collect()
+    chosen = base.where(sampled(F.xxhash64("doc_id", "text"), sum(r["count"] for r in counts), sample)).select("text")
+    got = chosen.mapInArrow(describe, "pattern string, slots array<int>, parts array<double>").collect()
     got.sort(key=lambda r: (r.pattern, r.slots, r.parts))
     return fit_scorer([(np.array(r.slots, np.int64), np.array(r.parts, float)) for r in got], np.array([posterior[tuple(map(int, r.pattern))] for r in got]))
 
