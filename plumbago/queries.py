@@ -1,0 +1,320 @@
+"""Queries over the driver's tables, each with its DuckDB SQL where there is one."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbago.engine import Engine
+from plumbago.operators import events as ev
+from plumbago.operators import memory, vectors
+from plumbago.plans.ir import BIGINT, TEXT, Catalog, Field
+from plumbago.plans.lower import WEIGHT
+from plumbago.sources.tables import load
+from plumbago.streaming.standing import Standing
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def registered(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+# The SQL dialect.
+
+#: name: (tables, text in the dialect, DuckDB SQL where it differs).
+DIALECT: dict[str, tuple[str, str, str | None]] = {
+    "nation_orders": (
+        "customer orders nation",
+        """SELECT n.n_name AS nation, COUNT(*) AS n, SUM(o.o_orderkey) AS s FROM orders AS o
+        JOIN customer AS c ON o.o_custkey = c.c_custkey JOIN nation AS n ON c.c_nationkey = n.n_nationkey
+        WHERE o.o_orderstatus <> 'P' GROUP BY n.n_name HAVING n > 10""",
+        """SELECT n.n_name AS nation, COUNT(*) AS n, SUM(o.o_orderkey)::BIGINT AS s FROM orders o
+        JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+        WHERE o.o_orderstatus <> 'P' GROUP BY n.n_name HAVING COUNT(*) > 10""",
+    ),
+    "filter_project_3vl": (
+        "orders",
+        """SELECT o_orderkey AS k, (o_orderkey - 7000) / 7 AS q, (o_orderkey - 7000) % 7 AS r, CASE WHEN o_custkey > 500 THEN o_orderstatus END AS st
+        FROM orders WHERE NOT (o_custkey = 5 OR o_orderstatus = 'F') AND (o_orderkey * 3 + 1 > 100 OR CASE WHEN o_custkey > 10 THEN o_orderkey END IS NULL)""",
+        """SELECT o_orderkey AS k, (o_orderkey - 7000) // 7 AS q, (o_orderkey - 7000) % 7 AS r, CASE WHEN o_custkey > 500 THEN o_orderstatus END AS st
+        FROM orders WHERE NOT (o_custkey = 5 OR o_orderstatus = 'F') AND (o_orderkey * 3 + 1 > 100 OR CASE WHEN o_custkey > 10 THEN o_orderkey END IS NULL)""",
+    ),
+    "equi_join_multi": (
+        "customer orders nation region",
+        """SELECT r.r_name AS region, n.n_name AS nation, o.o_orderpriority AS priority, o.o_orderkey AS k FROM orders AS o
+        JOIN customer AS c ON o.o_custkey = c.c_custkey JOIN nation AS n ON c.c_nationkey = n.n_nationkey
+        JOIN region AS r ON n.n_regionkey = r.r_regionkey WHERE o.o_orderstatus = 'O'""",
+        None,
+    ),
+    "self_join": (
+        "nation",
+        """SELECT a.n_name AS a, b.n_name AS b FROM nation AS a JOIN nation AS b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey < b.n_nationkey""",
+        None,
+    ),
+    "group_having": (
+        "lineitem",
+        """SELECT l_returnflag AS f, l_linestatus AS s, COUNT(*) AS n, SUM(l_partkey) AS total, AVG(l_suppkey) AS mean, MIN(l_orderkey) AS lo, MAX(l_orderkey) AS hi
+        FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING n > 1""",
+        """SELECT l_returnflag AS f, l_linestatus AS s, COUNT(*) AS n, SUM(l_partkey)::BIGINT AS total, SUM(l_suppkey)::DOUBLE / COUNT(l_suppkey) AS mean, MIN(l_orderkey) AS lo, MAX(l_orderkey) AS hi
+        FROM lineitem GROUP BY ALL HAVING COUNT(*) > 1""",
+    ),
+    "group_null_keys": (
+        "orders",
+        """SELECT CASE WHEN o_custkey > 100 THEN o_orderstatus END AS k, COUNT(*) AS n, COUNT(CASE WHEN o_custkey < 50 THEN o_custkey END) AS few, MAX(o_orderpriority) AS p
+        FROM orders GROUP BY CASE WHEN o_custkey > 100 THEN o_orderstatus END""",
+        None,
+    ),
+    "grand_total_empty": (
+        "lineitem",
+        "SELECT COUNT(*) AS n, SUM(l_partkey) AS s, AVG(l_partkey) AS a, MIN(l_returnflag) AS lo FROM lineitem WHERE l_orderkey < 0",
+        "SELECT COUNT(*) AS n, SUM(l_partkey)::BIGINT AS s, AVG(l_partkey)::DOUBLE AS a, MIN(l_returnflag) AS lo FROM lineitem WHERE l_orderkey < 0",
+    ),
+    "distinct_rows": ("lineitem", "SELECT DISTINCT l_suppkey AS supplier, l_returnflag AS flag FROM lineitem", None),
+    "filter_sum": (
+        "lineitem",
+        "SELECT SUM(l_partkey) AS total FROM lineitem WHERE l_orderkey > 0",
+        "SELECT SUM(l_partkey)::BIGINT AS total FROM lineitem WHERE l_orderkey > 0",
+    ),
+}
+
+
+def _in_dialect(tables: str, text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = Engine()
+        for t in tables.split():
+            engine.table(t, load(spark, sf_dir, t))
+        return engine.query(text)
+
+    return run
+
+
+for _name, (_tables, _text, _sql) in DIALECT.items():
+    QUERIES[_name], ORACLE_SQL[_name] = _in_dialect(_tables, _text), _sql or _text
+
+
+# Standing queries: the final answer is that of the final tables.
+
+_ORDERS = [Field("o_orderkey", BIGINT), Field("o_custkey", BIGINT), Field("o_orderstatus", TEXT)]
+_CUSTOMER = [Field("c_custkey", BIGINT), Field("c_nationkey", BIGINT)]
+_CUSTOMERS_ORDERS = "SELECT c.c_nationkey AS nation, o.o_orderstatus AS status FROM orders AS o JOIN customer AS c ON o.o_custkey = c.c_custkey"
+_BY_NATION = "SELECT c.c_nationkey AS nation, COUNT(*) AS n, SUM(o.o_orderkey) AS s, MAX(o.o_orderkey) AS hi FROM orders AS o JOIN customer AS c ON o.o_custkey = c.c_custkey GROUP BY c.c_nationkey"
+
+
+def _epochs(spark: SparkSession, sf_dir: str, text: str) -> Standing:
+    """First the orders of status F and O, from two sources; then P comes and F goes."""
+    catalog = Catalog()
+    catalog.declare("orders", _ORDERS)
+    catalog.declare("customer", _CUSTOMER)
+    s, orders = Standing(spark, catalog), load(spark, sf_dir, "orders")
+    s.append("a", "customer", load(spark, sf_dir, "customer"))
+    s.append("a", "orders", orders.where("o_orderstatus = 'F'"), token="one")
+    s.append("b", "orders", orders.where("o_orderstatus = 'O'"), token="one")
+    s.seal()
+    s.register("q", text)
+    s.append("a", "orders", orders.where("o_orderstatus = 'P'"))
+    s.append("a", "orders", orders.where("o_orderstatus = 'F'").withColumn(WEIGHT, F.lit(-1)))
+    s.seal()
+    return s
+
+
+@registered("SELECT c_nationkey::BIGINT AS nation, o_orderstatus AS status, COUNT(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F' GROUP BY ALL")
+def delta_join_equals_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _epochs(spark, sf_dir, _CUSTOMERS_ORDERS).read("q").withColumnRenamed(WEIGHT, "n")
+
+
+@registered("SELECT c_nationkey::BIGINT AS nation, COUNT(*) AS n, SUM(o_orderkey)::BIGINT AS s, MAX(o_orderkey) AS hi FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F' GROUP BY ALL")
+def delta_agg_equals_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _epochs(spark, sf_dir, _BY_NATION).read("q").drop(WEIGHT)
+
+
+@registered(
+    """WITH a AS (SELECT c_nationkey::BIGINT AS nation, o_orderstatus AS st, o_orderkey AS k FROM orders JOIN customer ON o_custkey = c_custkey),
+    x AS (SELECT nation, COUNT(*) AS n, SUM(k)::BIGINT AS s, MAX(k) AS hi FROM a WHERE st <> 'P' GROUP BY ALL),
+    y AS (SELECT nation, COUNT(*) AS n, SUM(k)::BIGINT AS s, MAX(k) AS hi FROM a WHERE st <> 'F' GROUP BY ALL)
+    SELECT *, -1::BIGINT AS weight FROM (FROM x EXCEPT FROM y) UNION ALL SELECT *, 1::BIGINT FROM (FROM y EXCEPT FROM x)"""
+)
+def answer_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _epochs(spark, sf_dir, _BY_NATION).changes("q", 1).drop("__epoch").withColumnRenamed(WEIGHT, "weight")
+
+
+@registered("SELECT c_nationkey::BIGINT AS nation, COUNT(*) AS n, SUM(o_orderkey)::BIGINT AS s, MAX(o_orderkey) AS hi FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' GROUP BY ALL")
+def retract_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _epochs(spark, sf_dir, _BY_NATION)
+    s.retract_source("b", "orders")
+    return s.read("q").drop(WEIGHT)
+
+
+# Events.
+
+_EVENTS_SQL = "SELECT event_id, user_id AS tenant_id, epoch_us(ts) // 1000 AS event_time, event_type AS event_name, value AS cost, event_type = 'error' AS error FROM events"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01', CAST(ts AS TIMESTAMP_NTZ))")
+    return load(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("tenant_id"), ms.alias("event_time"), F.col("event_type").alias("event_name"), F.col("value").alias("cost"), (F.col("event_type") == "error").alias("error"))
+
+
+_PAGE = "SELECT event_id, tenant_id, cost FROM ({}) WHERE error AND cost >= 10 {} ORDER BY event_id LIMIT 10"
+
+
+@registered(_PAGE.format(_EVENTS_SQL, ""))
+def event_scalar_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.page(_events(spark, sf_dir), F.col("error") & (F.col("cost") >= 10)).select("event_id", "tenant_id", "cost")
+
+
+@registered(_PAGE.format(_EVENTS_SQL, "AND event_id > 100"))
+def event_keyset_page2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.page(_events(spark, sf_dir), F.col("error") & (F.col("cost") >= 10), after=(0.0, 100)).select("event_id", "tenant_id", "cost")
+
+
+@registered(f"SELECT event_name, error::VARCHAR AS error, COUNT(*) AS n, ROUND(SUM(cost), 2) AS total, ROUND(AVG(cost), 6) AS mean, MIN(event_time) AS first, MAX(event_time) AS last FROM ({_EVENTS_SQL}) GROUP BY ALL")
+def event_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ev.group(_events(spark, sf_dir), ["event_name", "error"], {"n": ("count", None), "total": ("sum", "cost"), "mean": ("avg", "cost"), "first": ("min", "event_time"), "last": ("max", "event_time")})
+    return out.withColumns({"total": F.round("total", 2), "mean": F.round("mean", 6)})
+
+
+@registered(f"SELECT event_name, event_time - event_time % 86400000 AS day, COUNT(*) AS n FROM ({_EVENTS_SQL}) GROUP BY ALL")
+def event_day_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).groupBy("event_name", ev.day_window(F.col("event_time")).alias("day")).agg(F.count("*").alias("n"))
+
+
+@registered(f"SELECT event_id, event_time, cost FROM (SELECT event_id, event_time + 60000 AS event_time, cost + 1 AS cost FROM ({_EVENTS_SQL}) WHERE error UNION ALL SELECT event_id, event_time, cost FROM ({_EVENTS_SQL}) WHERE NOT error)")
+def dedup_lww(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events, and a later version of each error."""
+    e = _events(spark, sf_dir).select("event_id", "event_time", "cost", "error")
+    later = e.where("error").withColumns({"event_time": F.col("event_time") + 60_000, "cost": F.col("cost") + 1})
+    return ev.latest(e.unionByName(later)).select("event_id", "event_time", "cost")
+
+
+@registered(
+    f"""SELECT event_id, CASE WHEN event_time < seen - 604800000 THEN 'TooOld' ELSE 'TooNew' END AS reason
+    FROM (SELECT event_id, event_time, (SELECT max(event_time) FROM ({_EVENTS_SQL})) - 864000000 AS seen FROM ({_EVENTS_SQL})) WHERE event_time < seen - 604800000 OR event_time > seen + 3600000"""
+)
+def skew_deadletter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as if all were observed ten days before the last."""
+    e = _events(spark, sf_dir)
+    seen = e.agg(F.max("event_time")).first()[0]
+    return ev.admit(e.withColumn("observed_time", F.lit(seen - 10 * ev.DAY)))[1].select("event_id", "reason")
+
+
+@registered("SELECT event_id, user_id AS tenant_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) AS turn FROM events")
+def interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.interleaved(_events(spark, sf_dir)).select("event_id", "tenant_id", "turn")
+
+
+@registered("SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'error')")
+def tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
+    return ev.without(e, e.where("error")).select("event_id")
+
+
+# Vectors.
+
+_COS = "list_dot_product(embedding::DOUBLE[], {0}) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_dot_product({0}, {0}))"
+_AT = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {})"
+_SCORED = "SELECT vec_id, label, " + _COS.format("q") + " AS score FROM embeddings, (SELECT " + _AT + " AS q)"
+
+
+def _vector(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
+    return load(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"]
+
+
+def _anchors(spark: SparkSession, sf_dir: str) -> list[list[float]]:
+    return [r[0] for r in load(spark, sf_dir, "embeddings").where("vec_id < 8").orderBy("vec_id").select("embedding").collect()]
+
+
+@registered(f"SELECT vec_id, ROUND(score, 6) AS score FROM ({_SCORED.format(0)}) ORDER BY score DESC, vec_id LIMIT 10")
+def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_k(load(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 0)).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@registered(f"SELECT vec_id, ROUND(score, 6) AS score FROM ({_SCORED.format(0)}) WHERE score >= 0.2")
+def threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.within(load(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 0), 0.2).select("vec_id", F.round("score", 6).alias("score"))
+
+
+_RANKED = "SELECT vec_id, ROW_NUMBER() OVER (ORDER BY score DESC, vec_id) AS r FROM ({})"
+
+
+@registered(
+    f"""SELECT vec_id, ROUND(SUM(1.0::DOUBLE / (60 + r)), 6) AS score FROM (SELECT * FROM ({_RANKED.format(_SCORED.format(0))}) WHERE r <= 50
+    UNION ALL SELECT * FROM ({_RANKED.format(_SCORED.format(1))}) WHERE r <= 50) GROUP BY vec_id ORDER BY SUM(1.0::DOUBLE / (60 + r)) DESC, vec_id LIMIT 10"""
+)
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "embeddings")
+    found = [vectors.top_k(e, _vector(spark, sf_dir, n), 50) for n in (0, 1)]
+    return vectors.fused(found, 10).select("vec_id", F.round("score", 6).alias("score"))
+
+
+_ANCHORED = "SELECT e.vec_id, a.vec_id AS g, " + _COS.replace("embedding", "e.embedding").format("a.embedding::DOUBLE[]") + " AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 8) a"
+
+
+@registered(f"SELECT vec_id, ROUND(1 - MAX(score), 6) + 0.0 AS novelty FROM ({_ANCHORED}) GROUP BY vec_id")
+def novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.novelty(load(spark, sf_dir, "embeddings"), _anchors(spark, sf_dir)).select("vec_id", (F.round("novelty", 6) + 0.0).alias("novelty"))
+
+
+@registered(f"SELECT g AS group_id, COUNT(*) AS members, FIRST(vec_id ORDER BY score DESC, vec_id) AS exemplar FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY score DESC, g) AS r FROM ({_ANCHORED})) WHERE r = 1 GROUP BY g")
+def standing_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.groups(load(spark, sf_dir, "embeddings"), _anchors(spark, sf_dir))
+
+
+# Branches, provenance, claims, policy, retrieval.
+
+
+@registered("WITH RECURSIVE t AS (SELECT o_orderkey AS node FROM orders WHERE o_custkey = 7 UNION SELECT o_orderkey FROM orders JOIN t ON o_orderkey // 2 = node AND o_orderkey > 0) SELECT node FROM t")
+def taint_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order derives from the order of half its key; customer 7's orders are tainted."""
+    orders = load(spark, sf_dir, "orders")
+    edges = orders.where("o_orderkey > 0").select(F.expr("o_orderkey div 2").alias("parent"), F.col("o_orderkey").alias("child"))
+    return memory.tainted(orders.where("o_custkey = 7").select(F.col("o_orderkey").alias("node")), edges).select("node")
+
+
+@registered("SELECT o_orderkey AS k, o_orderstatus AS branch FROM orders WHERE o_orderstatus = 'P' OR o_orderstatus = 'O' AND year(o_orderdate) <= 1997 OR o_orderstatus = 'F' AND year(o_orderdate) <= 1995")
+def fork_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Branch P forked from O in 1997, which had forked from F in 1995."""
+    rows = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("branch"), F.year("o_orderdate").alias("epoch"))
+    return rows.where(memory.visible("P", [memory.Fork("P", "O", 1997), memory.Fork("O", "F", 1995)])).select("k", "branch")
+
+
+@registered(
+    """SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'P' THEN o_custkey + u ELSE o_custkey + 1 * s + u END AS v
+    FROM (SELECT *, (o_orderstatus = 'O')::BIGINT AS s, CASE WHEN o_orderpriority = '1-URGENT' THEN 10 ELSE 0 END AS u FROM orders)"""
+)
+def merge3_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source adds one to O and deletes P; the target adds ten to what is urgent."""
+    base = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("v"), "o_orderstatus", "o_orderpriority")
+    source = base.where("o_orderstatus <> 'P'").withColumn("v", F.col("v") + (F.col("o_orderstatus") == "O").cast("long"))
+    target = base.withColumn("v", F.col("v") + F.when(F.col("o_orderpriority") == "1-URGENT", 10).otherwise(0))
+    return memory.merge_counters(base, source, target, "k", "v").select("k", "v")
+
+
+@registered("SELECT o_custkey AS subject, max(o_orderkey) AS seq FROM orders WHERE epoch_ms(o_orderdate) <= 852076800000 AND 852076800000 < epoch_ms(o_orderdate) + 31536000000 GROUP BY ALL")
+def as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's order is a claim for a year; the last by key that held at the start of 1997."""
+    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01', CAST(o_orderdate AS TIMESTAMP_NTZ))")
+    claims = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject"), F.col("o_orderkey").alias("seq"), ms.alias("valid_from"), (ms + 31_536_000_000).alias("valid_to"), ms.alias("known_from"), F.lit(None).cast("long").alias("known_to"))
+    return memory.as_of(claims, ["subject"], 852_076_800_000, 852_076_800_000).select("subject", "seq")
+
+
+@registered("SELECT o_orderkey AS k, CASE WHEN o_orderpriority LIKE '5-%' THEN 'Deny' WHEN o_orderstatus = 'O' OR o_orderpriority LIKE '%URGENT' THEN 'Allow' ELSE 'Deny' END AS decision FROM orders")
+def policy_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("actor"), F.col("o_orderstatus").alias("action"), F.lit("order").alias("resource"))
+    rules = [memory.Rule("Allow", action="O"), memory.Rule("Allow", actor="*URGENT"), memory.Rule("Deny", actor="5-*", resource="ord*")]
+    return memory.decided(requests, rules).select("k", "decision")
+
+
+@registered("SELECT doc_id, (contains(lower(coalesce(text, '')), 'the')::INT + contains(lower(coalesce(text, '')), 'eau')::INT + contains(lower(coalesce(text, '')), 'license')::INT) / 3.0::DOUBLE * CASE WHEN lang = 'fr' THEN 0.25 ELSE 1 END AS score FROM documents")
+def retrieval_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return memory.retrieved(docs, ["the", "EAU", "license"], stale=F.coalesce(F.col("lang") == "fr", F.lit(False))).select("doc_id", "score")
