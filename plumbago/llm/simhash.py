@@ -297,14 +297,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(s[k : k + 500, 0][row])], names=["key", "w0"])
 
     def neighbours(key: int, fp: np.ndarray) -> list[tuple]:
+        """The rows with a neighbour, under a hash of their set: what meets under many keys is compared once."""
         met = {x for pair in tree(fp, NEAR) for x in pair}
-        return [(np.int64(key).view(np.uint64), x) for x in met]
+        name = np.uint64(xxhash.xxh3_64_intdigest(np.sort(np.array(list(met), np.uint64)).tobytes()))
+        return [(name, x) for x in met]
 
     rows = docs.where(F.col(id_col).isNotNull())
     prints = written(id_text(rows, id_col, text_col).mapInArrow(sketches, "doc_id long, " + ", ".join(f"{c} long" for c in columns)), "sketches")
     distinct = written(prints.groupBy("w0").agg(*[F.min_by(c, F.struct(*columns)).alias(c) for c in columns[1:]]), "distinct-sketches")
     arrow_rows(docs.sparkSession, 20_000)
-    close = written(_by_key(distinct.select(*columns).mapInArrow(keyed, "key long, w0 long"), ["w0"], neighbours, "key long, w0 long"), "close-sketches")
+    close = written(_by_key(distinct.select(*columns).mapInArrow(keyed, "key long, w0 long"), ["w0"], neighbours, "key long, w0 long").distinct(), "close-sketches")
     found = _by_key(close.join(distinct, "w0"), columns, lambda key, fp: tree(fp, differ), "a long, b long")
     named = _named(prints.select("doc_id", F.col("w0").alias("fp")), written(found.distinct(), "sketch-links"))
     return prints.select("doc_id", F.col("w0").alias("fp")).join(named, "fp").select("doc_id", "component_id")
