@@ -1,6 +1,6 @@
 """A corpus pipeline: each stage's Parquet output is the next stage's documents.
 
-Toxic documents go; chunks of lines that repeat across documents are cut; of
+Toxic documents go; runs of lines that repeat are cut; of
 each group of near-duplicates one document stays; documents are drawn to the
 sources' target weights, some twice; what is drawn is encoded and decoded.
 All stages but the last return the columns of documents.
@@ -27,7 +27,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = lines.deduplicate_lines(docs, keep=kept)
+    cut = lines.deduplicate_lines(docs, keep=kept, whole=True)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -9,6 +9,13 @@ same text or another, are kept where they come first (by id, then position)
 and removed elsewhere, after their bytes have been compared with the first's.
 Lines without a word end no chunk, and are not counted as lines.
 
+Chunks miss a passage that no chunk happens to fall inside. With whole=True
+the places compared are therefore all pairs of neighbouring lines with a word
+(and the blank lines between them), whatever stands around them. A pair met
+before, by id and then position, is removed, unless it overlaps the first one;
+so every run of two or more repeated lines goes, up to its last line. The
+first occurrence of a run may lose lines to other, still earlier runs.
+
 Edge cases: null texts stay null, empty ones empty; a single line is no chunk
 to remove, however often it occurs; a text may lose all its lines and is then
 empty; rows with equal ids are told apart by their texts, and of fully equal
@@ -19,6 +26,7 @@ deduplicate_lines only if asked for.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +59,12 @@ def chunks(lines: list[bytes], longest: int = LONGEST) -> list[tuple[int, int]]:
     return out
 
 
+def pairs(lines: list[bytes]) -> list[tuple[int, int]]:
+    """(from, to) of each two neighbouring lines with a word, blank lines between them included."""
+    at = [k for k, x in enumerate(lines) if x.strip(b" \t\n\r\x0b\x0c")]
+    return [(a, b + 1) for a, b in zip(at, at[1:])]
+
+
 def _many(lines: list[bytes]) -> bool:
     return sum(1 for x in lines if x.strip(b" \t\n\r\x0b\x0c")) > 1
 
@@ -61,14 +75,16 @@ def _with(rows: DataFrame, marks: DataFrame, how: str) -> DataFrame:
     return rows.join(marks, F.col("doc_id").eqNullSafe(F.col("i")) & F.col("part").eqNullSafe(F.col("p")), how).drop("i", "p")
 
 
-def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, longest: int = LONGEST) -> DataFrame:
-    """doc_id, text without repeated chunks, n_lines, n_removed (lines with a word), and the columns in keep.
+def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, longest: int = LONGEST, whole: bool = False) -> DataFrame:
+    """doc_id, text without repeated chunks (whole: without repeated runs of lines), n_lines, n_removed (lines with a word), and the columns in keep.
 
-    A chunk's repetition is found by a 128-bit hash and confirmed byte for byte
+    A chunk's or pair's repetition is found by a 128-bit hash and confirmed byte for byte
     against its first occurrence.
     """
     arrow_rows(docs.sparkSession)
     keep = keep or []
+    places = pairs if whole else functools.partial(chunks, longest=longest)
+    apart = 2 if whole else 1  # the nearest place in the same text that does not overlap
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)])
     keyed = base.withColumn("part", F.xxhash64("text"))
 
@@ -77,7 +93,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             row, at, low, high = [], [], [], []
             for r, t in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
                 lines = t.split(b"\n")
-                for k, (i, j) in enumerate(chunks(lines, longest)):
+                for k, (i, j) in enumerate(places(lines)):
                     if _many(lines[i:j]):
                         h = xxhash.xxh3_128_intdigest(b"\n".join(lines[i:j]))
                         row.append(r)
@@ -93,22 +109,23 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             rows = []
             for i, part, t, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist()):
                 lines = t.split(b"\n")
-                cuts = chunks(lines, longest)
+                cuts = places(lines)
                 for w in wanted:
                     start, stop = cuts[w["at"]]
-                    rows.append((i, part, w["at"], w["h1"], w["h2"], w["leads"], b"\n".join(lines[start:stop])))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=["doc_id", "part", "at", "h1", "h2", "leads", "body"])
+                    rows.append((i, part, w["at"], w["h1"], w["h2"], w["leads"], w["stays"], b"\n".join(lines[start:stop])))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=["doc_id", "part", "at", "h1", "h2", "leads", "stays", "body"])
 
     texts = keyed.where("text is not null").select("doc_id", "part", "text")
     found = written(texts.mapInArrow(cut, "doc_id long, part long, at int, h1 long, h2 long"), "line-chunks")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "part", "at")
     several = written(found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h1", "h2", "first"), "repeated-chunks")
-    members = found.join(several, ["h1", "h2"]).select("doc_id", "part", F.struct("at", "h1", "h2", place.eqNullSafe(F.col("first")).alias("leads")).alias("w"))
+    beside = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("part").eqNullSafe(F.col("first.part")) & (F.col("at") < F.col("first.at") + apart)
+    members = found.join(several, ["h1", "h2"]).select("doc_id", "part", F.struct("at", "h1", "h2", place.eqNullSafe(F.col("first")).alias("leads"), beside.alias("stays")).alias("w"))
     wanted = members.groupBy("doc_id", "part").agg(F.collect_set("w").alias("wanted"))
-    bodies = written(_with(texts, wanted, "inner").select("doc_id", "part", "text", "wanted").mapInArrow(take, "doc_id long, part long, at int, h1 long, h2 long, leads boolean, body binary"), "chunk-bodies")
+    bodies = written(_with(texts, wanted, "inner").select("doc_id", "part", "text", "wanted").mapInArrow(take, "doc_id long, part long, at int, h1 long, h2 long, leads boolean, stays boolean, body binary"), "chunk-bodies")
     first = bodies.where("leads").select("h1", "h2", F.col("body").alias("first_body")).dropDuplicates(["h1", "h2"])
-    gone = bodies.where("not leads").join(written(first, "first-chunks"), ["h1", "h2"]).where("body = first_body")
+    gone = bodies.where("not stays").join(written(first, "first-chunks"), ["h1", "h2"]).where("body = first_body")
     marks = gone.groupBy("doc_id", "part").agg(F.collect_set("at").alias("ats"))
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,8 +136,9 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 words = sum(1 for x in lines if x.strip(b" \t\n\r\x0b\x0c"))
                 left = lines
                 if ats:
-                    cut_at = set(ats)
-                    left = [x for k, (i, j) in enumerate(chunks(lines, longest)) if k not in cut_at for x in lines[i:j]]
+                    cuts = places(lines)
+                    gone_at = {x for k in ats for x in range(*cuts[k])}
+                    left = [x for k, x in enumerate(lines) if k not in gone_at]
                 totals.append(words)
                 removed.append(words - sum(1 for x in left if x.strip(b" \t\n\r\x0b\x0c")))
                 texts.append(None if t is None else b"\n".join(left).decode())

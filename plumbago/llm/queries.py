@@ -36,7 +36,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = lines.deduplicate_lines(documents(spark, sf_dir))
+    cut = lines.deduplicate_lines(documents(spark, sf_dir), whole=True)
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
