@@ -229,18 +229,26 @@ def linked_components(docs: DataFrame, shingle: int = 3, bits: int = BITS, id_co
     return prints.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-# Near-duplicates by a similarity: the same keys on longer fingerprints.
+# Near-duplicates by a similarity: the same keys on longer fingerprints make candidates, the shingle sets decide.
 
-WORDS, TABLES, EXACT, NEAR = 8, 40, 12, 18
+WORDS, TABLES, EXACT, NEAR, SPREAD = 8, 64, 10, 20, 5
 
 
-def sketch(text: bytes, shingle: int = SHINGLE_WORDS) -> np.ndarray:
-    """SimHash of 512 bits over the set of a text's shingles; zero without words."""
+def shingle_set(text: bytes, shingle: int = SHINGLE_WORDS) -> np.ndarray:
+    """The hashes of a text's shingles, each once and in order; none without words."""
     words = text.translate(_LOWER).split()
+    return np.unique(shingle_hashes(words, shingle)) if words else np.zeros(0, np.uint64)
+
+
+def set_name(h: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(h.tobytes())
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """SimHash of 512 bits over a set of shingle hashes; zero for the empty set."""
     out = np.zeros(WORDS, np.uint64)
-    if not words:
+    if not len(h):
         return out
-    h = np.unique(shingle_hashes(words, shingle))
     for w in range(WORDS):
         x = h * np.uint64(0x9E3779B97F4A7C15 + 2 * w * 0x632BE59BD9B4E019 & (1 << 64) - 1)
         x ^= x >> np.uint64(31)
@@ -270,24 +278,72 @@ def table_keys(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
+def alike(names: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest of sets whose Jaccard similarity is at least this.
+
+    Sets that are alike share one of their rarest elements (as many as may be
+    missing, and one more); only those that do are compared, or all that are
+    left where they are fewer.
+    """
+    sizes = np.array([len(x) for x in sets])
+    _, place, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    ranks = [np.sort(x) for x in np.split(rank[place], np.cumsum(sizes)[:-1])]
+    rare = [x[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1] for x in ranks]
+    element, member = np.concatenate(rare), np.repeat(np.arange(len(sets)), [len(x) for x in rare])
+    order = np.argsort(element, kind="stable")
+    member, edge = member[order], np.searchsorted(element[order], np.arange(len(often) + 1))
+    mark, links = np.zeros(len(often), bool), []
+    left, is_left = np.arange(len(sets)), np.ones(len(sets), bool)
+    while len(left) > 1:
+        open_, is_left[left[0]], left = [left[0]], False, left[1:]
+        while open_ and len(left):
+            x = open_.pop()
+            from_, to = edge[rare[x]], edge[rare[x] + 1]
+            if (to - from_).sum() < len(left):
+                met = np.unique(np.concatenate([member[a:b] for a, b in zip(from_, to)] or [left[:0]]))
+                met = met[is_left[met]]
+            else:
+                met = left
+            met = met[np.minimum(sizes[met], sizes[x]) >= similarity * np.maximum(sizes[met], sizes[x]) - 1e-9]
+            mark[ranks[x]] = True
+            both = np.array([np.count_nonzero(mark[ranks[y]]) for y in met])
+            mark[ranks[x]] = False
+            met = met[both / np.maximum(sizes[met] + sizes[x] - both, 1) >= similarity] if len(met) else met
+            if len(met):
+                is_left[met] = False
+                left = left[is_left[left]]
+                links += [(names[x], names[y]) for y in met]
+                open_ += met.tolist()
+    return links
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id of documents linked by shingle sets of at least this Jaccard similarity, as estimated from sketches.
-
-    Sets of equal size and Jaccard similarity s have cosine 2s / (1 + s), and a
-    bit of two sketches differs with the chance of its angle over pi. A table
-    finds a pair at 0.8 with chance 0.06 and one at 0.9 with 0.2; of forty
-    tables one does with 0.9 and nearly 1. Among the rows of a key, only those
-    with a neighbour within NEAR bits of the first word go on, and are compared
-    by whole sketches. Sketches of equal first words count as one.
+    """doc_id and component_id of documents linked by shingle sets of at least this Jaccard similarity.
+
+    Sketches only make candidates. Sets of equal size and Jaccard similarity s
+    have cosine 2s / (1 + s), and a bit of two sketches differs with the chance
+    of its angle over pi. A table finds a pair at 0.8 with chance 0.12; all miss
+    it with less than 0.001 (more for sets of a few shingles, whose bits differ
+    more often). Among the rows of a key, only those with a neighbour within
+    NEAR bits of the first word go on, and are compared by whole sketches, with
+    SPREAD standard deviations allowed beyond the expected difference. Texts of
+    equal first words, or linked in this way, form a group; inside each group
+    the shingle sets themselves are compared, and only those alike are linked.
+    A group's sets meet in one task.
     """
     arrow_rows(docs.sparkSession)
-    differ = int(64 * WORDS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    differ = int(64 * WORDS * chance + SPREAD * math.sqrt(64 * WORDS * chance * (1 - chance)))
     columns = [f"w{k}" for k in range(WORDS)]
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b for b in batches if b.num_rows):
-            s = np.stack([sketch(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(s[:, k])) for k in range(WORDS))], names=["doc_id", *columns])
+            sets = [shingle_set(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            s = np.stack([sketch(x) for x in sets]).view(np.int64)
+            name = np.array([set_name(x) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(name), *(pa.array(np.ascontiguousarray(s[:, k])) for k in range(WORDS))], names=["doc_id", "name", *columns])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -302,14 +358,48 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
         name = np.uint64(xxhash.xxh3_64_intdigest(np.sort(np.array(list(met), np.uint64)).tobytes()))
         return [(name, x) for x in met]
 
-    rows = docs.where(F.col(id_col).isNotNull())
-    prints = written(id_text(rows, id_col, text_col).mapInArrow(sketches, "doc_id long, " + ", ".join(f"{c} long" for c in columns)), "sketches")
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shingle sets asked for; another text of the same id has another name."""
+        for b in batches:
+            sets = [shingle_set(t, shingle) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            right = pa.array([set_name(x) == n % 2**64 for x, n in zip(sets, b.column(1).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in sets], pa.binary())], names=["root", "name", "hashes"]).filter(right)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by root; a root may run over several batches."""
+        at, held = None, {}
+
+        def found() -> list[tuple[int, int]]:
+            return alike([x % 2**64 for x in held], list(held.values()), similarity) if len(held) > 1 else []
+
+        for b in batches:
+            links = []
+            for root, name, h in zip(*(c.to_pylist() for c in b.columns)):
+                if root != at:
+                    links += found()
+                    at, held = root, {}
+                held[name] = np.frombuffer(h, np.uint64)
+            yield from _emit(links, ("a", "b"))
+        yield from _emit(found(), ("a", "b"))
+
+    spark = docs.sparkSession
+    texts = id_text(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
+    prints = written(texts.mapInArrow(sketches, "doc_id long, name long, " + ", ".join(f"{c} long" for c in columns)), "sketches")
     distinct = written(prints.groupBy("w0").agg(*[F.min_by(c, F.struct(*columns)).alias(c) for c in columns[1:]]), "distinct-sketches")
-    arrow_rows(docs.sparkSession, 20_000)
+    arrow_rows(spark, 20_000)
     close = written(_by_key(distinct.select(*columns).mapInArrow(keyed, "key long, w0 long"), ["w0"], neighbours, "key long, w0 long").distinct(), "close-sketches")
-    found = _by_key(close.join(distinct, "w0"), columns, lambda key, fp: tree(fp, differ), "a long, b long")
-    named = _named(prints.select("doc_id", F.col("w0").alias("fp")), written(found.distinct(), "sketch-links"))
-    return prints.select("doc_id", F.col("w0").alias("fp")).join(named, "fp").select("doc_id", "component_id")
+    near = _by_key(close.join(distinct, "w0"), columns, lambda key, fp: tree(fp, differ), "a long, b long")
+    group = components(written(near.distinct(), "sketch-links")).select(F.col("node").alias("w0"), F.col("component").alias("root"))
+    arrow_rows(spark)
+    firsts = prints.groupBy("name").agg(F.min(F.struct("doc_id", "w0")).alias("f")).select("name", "f.doc_id", "f.w0")
+    placed = written(firsts.join(group, "w0", "left").select("name", F.col("doc_id").alias("i"), F.coalesce("root", "w0").alias("root")), "groups")
+    several = placed.groupBy("root").count().where("count > 1").select("root")
+    asked = texts.join(placed.join(several, "root"), F.col("doc_id") == F.col("i")).select("root", "name", "text")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sets = asked.mapInArrow(sets_of, "root long, name long, hashes binary").repartition(n, "root").sortWithinPartitions("root")
+    found = written(sets.mapInArrow(compare, "a long, b long"), "alike")
+    named = _named(prints.select("doc_id", F.col("name").alias("fp")), found)
+    return prints.select("doc_id", F.col("name").alias("fp")).join(named, "fp").select("doc_id", "component_id")
 
 
 def first_of_each(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
