@@ -17,9 +17,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder named in spark.checkpoint.dir.
+
+    Where that is unset a local session gets a temporary folder; a cluster is
+    refused, because its executors would write where nobody else reads.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="plumbago-"))
             atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
@@ -28,16 +35,73 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/plumbago-{what}-{uuid.uuid4().hex[:12]}"
+    """A new path in the shared folder; what is there when the program ends is removed."""
+    path = f"{shared_folder(spark)}/plumbago-{what}-{uuid.uuid4().hex[:12]}"
+    atexit.register(remove, spark, path)
+    return path
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str) -> tuple:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, hadoop = _file_system(spark, path)
+    return fs.exists(hadoop)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    try:
+        fs, hadoop = _file_system(spark, path)
+        fs.delete(hadoop, True)
+    except Exception:  # the session has ended; the folder belongs to it
+        pass
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Rename within one file system; fails if the target is there."""
+    fs, hadoop = _file_system(spark, path)
+    if not fs.rename(hadoop, _file_system(spark, to)[1]):
+        raise OSError(f"cannot rename {path} to {to}")
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file, such as a manifest, whole; None if it is not there."""
+    fs, hadoop = _file_system(spark, path)
+    if not fs.exists(hadoop):
+        return None
+    stream = fs.open(hadoop)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, complete or not there at all under its name."""
+    temporary = f"{path}.{uuid.uuid4().hex[:8]}"
+    fs, hadoop = _file_system(spark, temporary)
+    stream = fs.create(hadoop, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    move(spark, temporary, path)
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete a table made by written() that nothing will read again."""
+    path = getattr(df, "_plumbago_path", None)
+    if path:
+        remove(df.sparkSession, path)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder; its lineage ends there."""
-    path = fresh_path(df.sparkSession, what)
+    """df as a Parquet table in the shared folder: lineage ends there, and it outlives executors."""
+    spark = df.sparkSession
+    path = fresh_path(spark, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._plumbago_path = path
+    return back
