@@ -6,22 +6,26 @@ A null text counts as the empty text; a null id is kept and sorts first.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import re
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbago.sources.tables import drop_written, fresh_path, load, written
+
+__all__ = ["SHINGLE_WORDS", "SIMILARITY", "Recent", "arrow_rows", "bind", "documents", "drop_written", "fresh_path", "id_text", "in_parts", "only_cache", "sampled", "whole_text", "words", "written"]
+
 SPACES = r"[\x20\x09-\x0D]+"
 SHINGLE_WORDS = 5
+#: Bytes of a text that a worker cuts into words at a time.
+PART = 1 << 18
+_BREAK = re.compile(rb"[\x20\x09-\x0D]")
 SIMILARITY = 0.8
-_local: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return load(spark, sf_dir, "documents")
 
 
 def bind(value: Column, body) -> Column:
@@ -56,43 +60,58 @@ def arrow_rows(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see; a local one only where the cluster names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not _local:
-            _local.append(tempfile.mkdtemp(prefix="plumbago-"))
-            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
-        folder = "file://" + _local[0]
-    return folder.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    path = f"{shared_folder(spark)}/plumbago-{what}-{uuid.uuid4().hex[:12]}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the session has ended; the folder belongs to it
-        pass
-
-
-def drop_written(df: DataFrame) -> None:
-    """Delete a table made by written() that nothing will read again."""
-    path = getattr(df, "_plumbago_path", None)
-    if path:
-        _remove(df.sparkSession, path)
+class Recent(dict):
+    """What a Python worker remembers of keys met lately, in at most about `most` bytes.
 
+    Entries live in two generations: once the younger one holds half of the
+    bytes it becomes the older, and what was not asked for since is forgotten.
+    """
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, and it outlives executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._plumbago_path = path
-    return back
+    EACH = 200  # an entry's objects and its places in two tables
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.half, self.held, self.old = most // 2, 0, {}
+
+    def add(self, key, value, size: int) -> None:
+        self[key] = value
+        self.held += size + self.EACH
+
+    def missing(self, keys: set) -> set:
+        """The keys that have to be added; all others can be read until the next call."""
+        if self.held > self.half:
+            self.old, self.held = dict(self), 0
+            self.clear()
+        new = keys.difference(self)
+        if self.old and new:
+            known = new.intersection(self.old)
+            for k in known:
+                v = self.old[k]
+                self.add(k, v, len(k) + len(v))
+            new -= known
+        return new
+
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.held = {}, 0
+
+
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def only_cache(name: str | None = None, forget: Callable[[], None] | None = None) -> None:
+    """Called where work on a partition begins: a worker keeps no other operator's cache. forget empties the caller's, later."""
+    for other in [k for k in _caches if k != name]:
+        _caches.pop(other)()
+    if name is not None and forget is not None:
+        _caches[name] = forget
+
+
+def in_parts(text: bytes, size: int = PART) -> Iterator[bytes]:
+    """A UTF-8 text in consecutive parts of about `size` bytes, cut before white space only, so that no word is cut."""
+    at = 0
+    while at < len(text):
+        m = _BREAK.search(text, at + size) if at + size < len(text) else None
+        end = m.start() if m else len(text)
+        yield text[at:end]
+        at = end

@@ -6,12 +6,14 @@ until none is left. Characters without a piece fall back to their bytes.
 
 No piece spans certain boundaries (before a space mark, around a line end,
 between letters and punctuation; derived from the vocabulary when it is
-loaded), so a text is cut there and each distinct stretch is merged once per
-worker. All stretches new in an Arrow batch are checked against the
-sentencepiece library, ids and decoded text alike; a difference is an error.
+loaded), so a text is cut there and each distinct stretch is merged once while a
+worker remembers it. All stretches new in a part of an Arrow batch are checked
+against the sentencepiece library, ids and decoded text alike; a difference is
+an error that names the document, or the library's ids are taken if asked for.
 
 Edge cases: a null text is the empty text and yields the end id alone; very
-long stretches are merged in O(n log n) and not cached; repeated rows and
+long texts are cut into stretches a part at a time, and long stretches merged
+in O(n log n) and not remembered; repeated rows and
 equal ids give equal results; an empty table gives an empty table; columns
 other than id and text are ignored.
 """
@@ -29,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbago.llm.common import arrow_rows, id_text
+from plumbago.llm.common import PART, Recent, arrow_rows, id_text, only_cache
 
 SPACE = "▁"
-CACHED, CACHED_CHARS = 1_200_000, 48
+#: Bytes of stretches that a worker remembers, and the longest of them in characters.
+REMEMBERED, REMEMBERED_CHARS = 96 << 20, 48
 _loaded: dict[str, "Pieces"] = {}
 
 
@@ -70,10 +73,11 @@ class Pieces:
         for byte, i in self.byte_id.items():
             self.surface[i] = bytes([byte])
         self.stretch = re.compile(self._stretches())
-        self.ids: dict[str, bytes] = {}
+        self.ids = Recent(REMEMBERED)
+        self.differing: set[str] = set()
 
     def _stretches(self) -> str:
-        """A pattern for stretches that no piece crosses, checked against every piece."""
+        """A pattern for stretches of plain text (spaces as spaces) that no piece crosses, checked against every piece."""
         pairs = {(a, b) for p in self.id_of for a, b in zip(p, p[1:])}
         if any(b == SPACE != a for a, b in pairs) or any("\n" in x for x in pairs):
             return r"(?s).+"  # no safe boundary: whole texts
@@ -81,9 +85,9 @@ class Pieces:
         while bad := {x for a, b in pairs if SPACE not in (a, b) and (a in marks) != (b in marks) for x in (a, b) if x in marks}:
             marks -= bad
         if not marks:
-            return rf"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n"
+            return rf"[ {SPACE}]+[^ {SPACE}\n]*|[^ {SPACE}\n]+|\n"
         m = "".join(re.escape(c) for c in sorted(marks))
-        return rf"{SPACE}*[{m}]+|{SPACE}*[^{SPACE}\n{m}]+|{SPACE}+|\n"
+        return rf"[ {SPACE}]*[{m}]+|[ {SPACE}]*[^ {SPACE}\n{m}]+|[ {SPACE}]+|\n"
 
     def merge(self, text: str) -> list[int]:
         """Ids of a text whose spaces are marked already."""
@@ -125,45 +129,84 @@ class Pieces:
     def learn(self, stretches: set[str]) -> None:
         """Merge stretches not met before, and check all of them against the library at once."""
         new = list(stretches)
-        ids = [self.merge(x) for x in new]
+        ids = [self.merge(x.replace(" ", SPACE)) for x in new]
         texts = [self.unmerge(x) for x in ids]
         # The library puts a space mark first. Behind a line end, which no piece contains, a stretch stands as in a text.
-        plain = ["\n" + x.replace(SPACE, " ") for x in new]
-        theirs = self.library.encode(plain, num_threads=1)
+        theirs = self.library.encode(["\n" + x for x in new], num_threads=1)
         back = self.library.decode(theirs, num_threads=1)
         head = self.library.encode("\n")
         for x, i, t, their, said in zip(new, ids, texts, theirs, back):
             if head + i != their or "\n" + t != said:
-                raise RuntimeError(f"the merges of {x[:60]!r} differ from the sentencepiece library's")
-            self.ids[x] = struct.pack(f"<{len(i)}i", *i)
-
-    def batch(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+                self.differing.add(x)
+                i = their[len(head) :]
+            self.ids.add(x, struct.pack(f"<{len(i)}i", *i), 4 * len(i) + len(x))
+
+    def parts(self, text: str) -> Iterator[str]:
+        """A text, its leading space mark included, in parts that no stretch crosses."""
+        text = " " + text if text else ""
+        if not self.stretch.pattern.startswith("["):
+            yield text
+            return
+        at = 0
+        while at < len(text):
+            end = at + PART
+            while end < len(text) and not (text[end] == " " and text[end - 1] not in (" ", SPACE)):
+                end = text.find(" ", end + 1) if text.find(" ", end + 1) > 0 else len(text)
+            yield text[at:end]
+            at = end
+
+    def batch(self, texts: list[str], names: list | None = None, trust_library: bool = False) -> tuple[list[bytes], list[str]]:
         """Ids as little-endian 32-bit integers, the end id included, and decoded texts."""
-        cut = [self.stretch.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.ids) > CACHED:
-            self.ids.clear()
-        new = set().union(*cut).difference(self.ids)
-        if new:
-            self.learn(new)
-        end, known = struct.pack("<i", self.end), self.ids.__getitem__
-        ids = [b"".join(map(known, x)) + end for x in cut]
-        for x in new:
-            if len(x) > CACHED_CHARS:
-                del self.ids[x]
-        return ids, [self.unmerge(np.frombuffer(x, "<i4").tolist())[1:] for x in ids]
-
-
-def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        end, ids = struct.pack("<i", self.end), [b""] * len(texts)
+        cut: list[tuple[int, list[str]]] = []
+        held = 0
+
+        def join() -> None:
+            new = self.ids.missing(set().union(*(x for _, x in cut)))
+            if new:
+                self.learn(new)
+                bad = self.differing and not trust_library and next(((k, x) for k, s in cut for x in s if x in self.differing), None)
+                if bad:
+                    raise RuntimeError(f"document {names[bad[0]] if names else bad[0]}: the merges of {bad[1][:60]!r} differ from the sentencepiece library's")
+            known = self.ids.__getitem__
+            for k, x in cut:
+                ids[k] += b"".join(map(known, x))
+            for x in new:
+                if len(x) > REMEMBERED_CHARS:
+                    del self.ids[x]
+
+        for k, t in enumerate(texts):
+            for part in self.parts(t):
+                cut.append((k, self.stretch.findall(part)))
+                held += len(part)
+                if held > 4 * PART:
+                    join()
+                    cut, held = [], 0
+        join()
+        ids = [x + end for x in ids]
+        return ids, [self.unmerge_packed(x) for x in ids]
+
+    def unmerge_packed(self, ids: bytes) -> str:
+        """The text of packed ids with the end id, without its leading space."""
+        every, out = np.frombuffer(ids, "<i4"), []
+        for k in range(0, len(every), PART):
+            out.append(b"".join(map(self.surface.__getitem__, every[k : k + PART].tolist())))
+        return b"".join(out).decode("utf-8", "replace")[1:]
+
+
+def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", trust_library: bool = False) -> DataFrame:
     """doc_id, ids array<int> (end id last) and decoded string for each row of docs.
 
-    model: path of a .model file that every executor can open.
+    model: path of a .model file that every executor can open. trust_library:
+    where the library's ids of a stretch differ, take them instead of failing.
     """
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
+        only_cache("pieces", pieces.ids.forget)
         for b in batches:
-            ids, back = pieces.batch(b.column(1).to_pylist())
+            ids, back = pieces.batch(b.column(1).to_pylist(), b.column(0).to_pylist(), trust_library)
             offsets = np.zeros(len(ids) + 1, dtype=np.int32)
             np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
             values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])

@@ -15,9 +15,13 @@ segment without error beside one with at most one, or one error in each:
 Every pair that must be linked thus meets under a key of 33 or more bits.
 
 Verification works on distinct fingerprints. The members of a key are searched
-from one to the next, each member once, and only the links of the search tree
-are passed on: no more than members, however many pairs are close. The rows of
-a key are distinct fingerprints that agree in those 33 bits, at 8 bytes each.
+from the least to the next, each member once, and only the links of the search
+tree are passed on: no more than members, and equal members under many keys
+give equal links, which are dropped before they are joined. A key of
+more than MOST members is not searched: its members are dealt by each quarter of
+the bits not yet agreed on (three differing bits leave one quarter equal), in
+rounds, until a group is small or FREE bits are left to differ in, so that no
+task ever holds more than 2^FREE fingerprints of 8 bytes.
 
 Edge cases: a null or empty text, or one of white space alone, has fingerprint
 zero, and zero is linked like any other; a text with fewer words than a
@@ -30,6 +34,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,10 +43,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbago.llm.common import SHINGLE_WORDS, SIMILARITY, arrow_rows, id_text, written
+from plumbago.llm.common import SHINGLE_WORDS, SIMILARITY, arrow_rows, drop_written, id_text, in_parts, only_cache, written
 from plumbago.llm.components import components
 
 BITS, SEED = 3, 42
+#: Members of a key that are searched at once; free bits below which a group is not dealt further.
+MOST, FREE = 8192, 16
 #: Generator polynomial of the binary Golay code.
 GOLAY = 0b110001110101
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -49,10 +56,8 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ONES = np.arange(23, dtype=np.int64)
 
 
-def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
-    """XXH64 of every shingle, or of all words where they are fewer."""
-    if len(words) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], dtype=np.uint64)
+def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of every shingle of enough words."""
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate([[0], ends[:-shingle]]).tolist()
@@ -61,20 +66,39 @@ def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
     return np.fromiter((hashed(joined[s:e], SEED) for s, e in zip(starts, stops)), np.uint64, len(starts))
 
 
-def majority(h: np.ndarray) -> np.uint64:
-    """The bits set in over half of h."""
+def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of every word shingle of a text, or of all words where they are fewer; nothing without words. A part of the text at a time."""
+    rest: list[bytes] = []
+    short = True
+    for part in in_parts(text):
+        rest += part.translate(_LOWER).split()
+        if len(rest) >= shingle:
+            yield _hashes(rest, shingle)
+            short, rest = False, rest[len(rest) - shingle + 1 :]
+    if short and rest:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(rest), SEED)], dtype=np.uint64)
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How often each of the 64 bits is set in h."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(h), 16384):
         counts += np.unpackbits(np.ascontiguousarray(h[k : k + 16384]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0]
+    return counts
+
+
+def majority(counts: np.ndarray, n: int) -> np.uint64:
+    """The bits set in over half of n hashes."""
+    return np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0]
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
     """The fingerprint of a UTF-8 text, unsigned."""
-    words = text.translate(_LOWER).split()
-    if not words:
-        return 0
-    return int(majority(shingle_hashes(words, shingle)))
+    counts, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, shingle):
+        counts += bit_counts(h)
+        n += len(h)
+    return int(majority(counts, n))
 
 
 @functools.cache
@@ -131,22 +155,33 @@ def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
-def tree(prints: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
-    """Links of a spanning forest of fingerprints at most `bits` apart.
+def tree(prints: np.ndarray, bits: int = BITS, names: np.ndarray | None = None) -> np.ndarray:
+    """(n, 2): links of a spanning forest of fingerprints at most `bits` apart, searched from the least name on.
 
-    prints: (n, words) of 64 bits each; the first word names a fingerprint in the links.
+    prints: (n, words) of 64 bits each; names: what to call them, else by their first word.
     """
-    left, links = prints.view(np.uint64), []
+    name = (prints[:, 0] if names is None else names).view(np.uint64)
+    order = np.argsort(name, kind="stable")
+    left, name = prints.view(np.uint64)[order], name[order]
+    links = [np.zeros((0, 2), np.uint64)]
     while len(left) > 1:
-        open_, left = [left[0]], left[1:]
+        open_ = deque([(left[0], name[0])])
+        left, name = left[1:], name[1:]
         while open_ and len(left):
-            x = open_.pop()
+            x, called = open_.popleft()
             close = np.bitwise_count(left ^ x).sum(axis=1) <= bits
             if close.any():
-                met, left = left[close], left[~close]
-                links += [(x[0], y[0]) for y in met]
-                open_ += list(met)
-    return links
+                met = name[close]
+                open_ += zip(left[close], met)
+                links.append(np.stack([met, np.full(len(met), called)], axis=1))
+                left, name = left[~close], name[~close]
+    return np.concatenate(links)
+
+
+def quarters(mask: int) -> list[int]:
+    """mask with one quarter more of the bits that it leaves free, in each of four ways."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    return [mask | sum(1 << b for b in free[k::4]) for k in range(4)]
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,6 +189,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache()
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
@@ -161,55 +197,107 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
-def _emit(found: list, names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.array(found, dtype=np.uint64).view(np.int64).T], names=list(names))
+def _signed(column: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(column).view(np.int64))
+
 
+def _by_key(rows: DataFrame, words: list[str], each, crowd, schema: str) -> DataFrame:
+    """Searches the rows (key, mask and 64-bit words) of every key and mask with more than one row.
 
-def _by_key(rows: DataFrame, words: list[str], each, schema: str) -> DataFrame:
-    """each(key, fingerprints) for the rows of every key with more than one row; rows: key and 64-bit words."""
-    names = tuple(c.split()[0] for c in schema.split(","))
+    each([(key, mask, words)]) gives batches for whole keys; crowd(key, mask, words, first), if it takes the
+    key, for the parts of one that has more than MOST rows, which are not held; first is its least row.
+    """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key; a key may run over several batches."""
-        rest: list[np.ndarray] = []
-        rest_key = None
+        """Rows come sorted by key, mask and words; a key may run over several batches."""
+        only_cache()
+        at, held, n, first = None, [], 0, None
         for batch in (b for b in batches if b.num_rows):
-            key, fp = batch.column(0).to_numpy(), np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)
-            cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            groups = []
-            if rest_key is not None:
-                if key[0] == rest_key:
-                    rest.append(fp[: cuts[1]])
-                    if len(cuts) == 2:
-                        continue
-                    cuts = cuts[1:]
-                groups.append((rest_key, np.concatenate(rest)))
-            many = np.flatnonzero(np.diff(cuts[:-1]) > 1)
-            groups += [(key[cuts[k]], fp[cuts[k] : cuts[k + 1]]) for k in many]
-            rest, rest_key = [fp[cuts[-2] :]], key[-1]
-            yield from _emit([x for g in groups for x in each(*g)], names)
-        if rest:
-            yield from _emit(list(each(rest_key, np.concatenate(rest))), names)
+            key, mask = (batch.column(k).to_numpy() for k in (0, 1))
+            fp = np.stack([c.to_numpy() for c in batch.columns[2:]], axis=1).view(np.uint64)
+            cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (mask[1:] != mask[:-1])) + 1, [len(key)]])
+            begin, groups = 0, []
+            if at == (int(key[0]), int(mask[0]) % 2**64):
+                held.append(fp[: cuts[1]])
+                n += int(cuts[1])
+                if n > MOST and (out := crowd(*at, held, first)) is not None:
+                    yield from out
+                    held = []
+                if len(cuts) == 2:
+                    continue
+                begin = 1
+            if n > 1 and held:
+                groups.append((*at, np.concatenate(held)))
+            for k in (np.flatnonzero(np.diff(cuts)[begin:-1] > 1) + begin).tolist():
+                here = int(key[cuts[k]]), int(mask[cuts[k]]) % 2**64, fp[cuts[k] : cuts[k + 1]]
+                if len(here[2]) > MOST and (out := crowd(*here[:2], [here[2]], here[2][0])) is not None:
+                    yield from out
+                else:
+                    groups.append(here)
+            if groups:
+                yield from each(groups)
+            at, held, first = (int(key[-1]), int(mask[-1]) % 2**64), [fp[cuts[-2] :]], fp[cuts[-2]]
+            n = len(held[0])
+            if n > MOST and (out := crowd(*at, held, first)) is not None:
+                yield from out
+                held = []
+        if n > 1 and held:
+            yield from each([(*at, np.concatenate(held))])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("key", *words).repartition(n, "key").sortWithinPartitions("key").mapInArrow(search, schema)
+    return rows.select("key", "mask", *words).repartition(n, "key", "mask").sortWithinPartitions("key", "mask", words[0]).mapInArrow(search, schema)
+
+
+def _searched(rows: DataFrame, bits: int) -> DataFrame:
+    """Links (a, b, null) of all keys, and what has to be searched under smaller keys: (key, fp, mask)."""
+    names = ["a", "b", "mask"]
+
+    def each(groups: list) -> Iterator[pa.RecordBatch]:
+        found = np.unique(np.concatenate([tree(fp, bits) for _, _, fp in groups]), axis=0)
+        yield pa.RecordBatch.from_arrays([_signed(found[:, 0]), _signed(found[:, 1]), pa.nulls(len(found), pa.int64())], names=names)
+
+    def crowd(key: int, mask: int, parts: list, first: np.ndarray) -> list | None:
+        """Under each of four smaller keys; not if few bits are left to differ in."""
+        if 64 - mask.bit_count() <= FREE:
+            return None
+        out = []
+        for fp in (p[:, 0] for p in parts):
+            for wider in quarters(mask):
+                salt = np.uint64(xxhash.xxh3_64_intdigest(f"{key} {wider}".encode()))
+                x = ((fp & np.uint64(wider)) ^ salt) * np.uint64(0x9E3779B97F4A7C15)
+                x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) ^ salt
+                out.append(pa.RecordBatch.from_arrays([_signed(x), _signed(fp), _signed(np.full(len(fp), wider, np.uint64))], names=names))
+        return out
+
+    return written(_by_key(rows, ["fp"], each, crowd, "a long, b long, mask long"), "searched-keys")
 
 
 def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
-    """(a, b): links between the distinct values of prints.fp that connect what is at most `bits` apart."""
+    """(a, b): links between the distinct values of prints.fp that connect what is at most `bits` (3 or fewer) apart."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache()
         for b in batches:
             fp = b.column(0).to_numpy()
             for k in range(0, len(fp), 2000):
                 part = np.ascontiguousarray(fp[k : k + 2000])
                 row, key = keys(part)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row])], names=["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.zeros(len(key), np.int64)), pa.array(part[row])], names=["key", "mask", "fp"])
 
-    arrow_rows(prints.sparkSession, 20_000)
-    rows = prints.select("fp").distinct().mapInArrow(keyed, "key long, fp long")
-    return _by_key(rows, ["fp"], lambda key, fp: tree(fp, bits), "a long, b long")
+    if bits > 3:
+        raise ValueError("the keys are complete for up to three differing bits")
+    spark = prints.sparkSession
+    arrow_rows(spark, 10_000)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Dealt before it grows: each fingerprint has up to 84 keys.
+    rows = prints.select("fp").distinct().repartition(n, "fp").mapInArrow(keyed, "key long, mask long, fp long")
+    found, parts = _searched(rows, bits), []
+    while True:
+        parts.append(found.where("mask is null").select("a", "b"))
+        crowd = found.where("mask is not null").select(F.col("a").alias("key"), "mask", F.col("b").alias("fp"))
+        if crowd.isEmpty():
+            return functools.reduce(DataFrame.unionByName, parts).distinct()
+        found = _searched(crowd.distinct(), bits)
 
 
 def _named(prints: DataFrame, found: DataFrame) -> DataFrame:
@@ -224,20 +312,22 @@ def _named(prints: DataFrame, found: DataFrame) -> DataFrame:
 def linked_components(docs: DataFrame, shingle: int = 3, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp and component_id, the smallest id that links lead to from the document."""
     prints = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    found = written(links(prints.where("doc_id is not null"), bits).distinct(), "fingerprint-links")
+    found = written(links(prints.where("doc_id is not null"), bits), "fingerprint-links")
     named = _named(prints.where("doc_id is not null"), found)
+    drop_written(found)
     return prints.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 # Near-duplicates by a similarity: the same keys on longer fingerprints make candidates, the shingle sets decide.
 
 WORDS, TABLES, EXACT, NEAR, SPREAD = 8, 64, 10, 20, 5
+#: Shingle hashes that are compared with each other at once.
+BLOCK = 1 << 20
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE_WORDS) -> np.ndarray:
     """The hashes of a text's shingles, each once and in order; none without words."""
-    words = text.translate(_LOWER).split()
-    return np.unique(shingle_hashes(words, shingle)) if words else np.zeros(0, np.uint64)
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle)]))
 
 
 def set_name(h: np.ndarray) -> int:
@@ -254,7 +344,7 @@ def sketch(h: np.ndarray) -> np.ndarray:
         x ^= x >> np.uint64(31)
         x *= np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(29)
-        out[w] = majority(x)
+        out[w] = majority(bit_counts(x), len(x))
     return out
 
 
@@ -328,10 +418,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     it with less than 0.001 (more for sets of a few shingles, whose bits differ
     more often). Among the rows of a key, only those with a neighbour within
     NEAR bits of the first word go on, and are compared by whole sketches, with
-    SPREAD standard deviations allowed beyond the expected difference. Texts of
-    equal first words, or linked in this way, form a group; inside each group
-    the shingle sets themselves are compared, and only those alike are linked.
-    A group's sets meet in one task.
+    SPREAD standard deviations allowed beyond the expected difference; the rows
+    of a key of more than MOST are all taken for candidates. Sketches with equal
+    first words, or linked in this way, form a group; inside each group the
+    shingle sets themselves are compared, and only those alike are linked.
+    Equal sets are found by a 64-bit hash of the set.
     """
     arrow_rows(docs.sparkSession)
     chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -339,34 +430,95 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     columns = [f"w{k}" for k in range(WORDS)]
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache()
         for b in (b for b in batches if b.num_rows):
             sets = [shingle_set(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
             s = np.stack([sketch(x) for x in sets]).view(np.int64)
-            name = np.array([set_name(x) for x in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(name), *(pa.array(np.ascontiguousarray(s[:, k])) for k in range(WORDS))], names=["doc_id", "name", *columns])
+            name = np.array([set_name(x) for x in sets], np.uint64)
+            size = pa.array([len(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), _signed(name), size, *(_signed(s[:, k]) for k in range(WORDS))], names=["doc_id", "name", "n", *columns])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache()
         for b in batches:
             s = np.stack([c.to_numpy() for c in b.columns], axis=1)
             for k in range(0, len(s), 500):
                 row, key = table_keys(s[k : k + 500].view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(s[k : k + 500, 0][row])], names=["key", "w0"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.zeros(len(key), np.int64)), pa.array(s[k : k + 500, 0][row])], names=["key", "mask", "w0"])
 
-    def neighbours(key: int, fp: np.ndarray) -> list[tuple]:
+    def neighbours(groups: list) -> Iterator[pa.RecordBatch]:
         """The rows with a neighbour, under a hash of their set: what meets under many keys is compared once."""
-        met = {x for pair in tree(fp, NEAR) for x in pair}
-        name = np.uint64(xxhash.xxh3_64_intdigest(np.sort(np.array(list(met), np.uint64)).tobytes()))
-        return [(name, x) for x in met]
+        sets = {}
+        for _, _, fp in groups:
+            met = np.unique(tree(fp, NEAR))
+            if len(met):
+                sets[xxhash.xxh3_64_intdigest(met.tobytes())] = met
+        if sets:
+            name = np.repeat(np.array(list(sets), np.uint64), [len(x) for x in sets.values()])
+            met = np.concatenate(list(sets.values()))
+            yield pa.RecordBatch.from_arrays([_signed(name), _signed(met), pa.nulls(len(met), pa.int64())], names=["key", "w0", "b"])
+
+    def crowd(key: int, mask: int, parts: list, first: np.ndarray) -> list:
+        every = np.concatenate(parts)[:, 0]
+        return [pa.RecordBatch.from_arrays([_signed(np.zeros(len(every), np.uint64)), _signed(every), _signed(np.full(len(every), first[0]))], names=["key", "w0", "b"])]
+
+    def compared(groups: list) -> Iterator[pa.RecordBatch]:
+        found = np.unique(np.concatenate([tree(fp[:, 1:], differ, fp[:, 0]) for _, _, fp in groups]), axis=0)
+        yield pa.RecordBatch.from_arrays([_signed(found[:, 0]), _signed(found[:, 1])], names=["a", "b"])
+
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = id_text(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
+    prints = written(texts.mapInArrow(sketches, "doc_id long, name long, n long, " + ", ".join(f"{c} long" for c in columns)), "sketches")
+    distinct = written(prints.select(*columns).distinct().withColumn("sketch", F.xxhash64(*columns)), "distinct-sketches")
+    arrow_rows(spark, 10_000)
+    keys_ = distinct.select(*columns).repartition(n, *columns).mapInArrow(keyed, "key long, mask long, w0 long")
+    close = written(_by_key(keys_, ["w0"], neighbours, crowd, "key long, w0 long, b long").distinct(), "close-sketches")
+    whole = close.where("b is null").select("key", F.lit(0).cast("long").alias("mask"), "w0").join(distinct, "w0")
+    near = _by_key(whole, ["sketch", *columns], compared, lambda *_: None, "a long, b long")
+    # Equal first words, and crowded keys, name sketches by their first word: all of them hang on the least sketch of it.
+    by_word = written(distinct.groupBy("w0").agg(F.min("sketch").alias("b")), "first-words")
+    same = distinct.join(by_word, "w0").where("sketch <> b").select(F.col("sketch").alias("a"), "b")
+    named = by_word.select(F.col("w0").alias("i"), F.col("b").alias("s"))
+    crowded = close.where("b is not null and w0 <> b").select("w0", F.col("b").alias("o"))
+    crowded = crowded.join(named, F.col("w0") == F.col("i")).select("o", F.col("s").alias("a")).join(named, F.col("o") == F.col("i")).select("a", F.col("s").alias("b"))
+    candidates = written(near.unionByName(same).unionByName(crowded).distinct(), "sketch-links")
+    for done in (close, by_word):
+        drop_written(done)
+    group = components(candidates).select(F.col("node").alias("sketch"), F.col("component").alias("root"))
+    arrow_rows(spark)
+    firsts = prints.groupBy("name").agg(F.min(F.struct("doc_id", F.xxhash64(*columns).alias("sketch"), "n")).alias("f")).select("name", "f.*")
+    placed = written(firsts.join(group, "sketch", "left").select("name", F.col("doc_id").alias("i"), "n", F.coalesce("root", "sketch").alias("root")), "groups")
+    for done in (distinct, candidates):
+        drop_written(done)
+    found = _alike_in_groups(texts, placed, similarity, shingle)
+    named = _named(prints.select("doc_id", F.col("name").alias("fp")), found)
+    return prints.select("doc_id", F.col("name").alias("fp")).join(named, "fp").select("doc_id", "component_id")
+
+
+def _alike_in_groups(texts: DataFrame, placed: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(a, b): links that connect the sets of each group (placed: name, i, n, root) that are alike.
+
+    A task compares blocks of about BLOCK shingle hashes at most. Of a group
+    with more, each block is compared by itself, then the least sets of what
+    hangs together in the blocks, and last all that is not in the largest part
+    then with all the group, block by block; so nothing is missed, and a group
+    of near copies, being one part by then, is read a fixed number of times.
+    """
+    spark = texts.sparkSession
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The shingle sets asked for; another text of the same id has another name."""
+        only_cache()
         for b in batches:
-            sets = [shingle_set(t, shingle) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            sets = [shingle_set(t, shingle) for t in b.column(3).cast(pa.binary()).to_pylist()]
             right = pa.array([set_name(x) == n % 2**64 for x, n in zip(sets, b.column(1).to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in sets], pa.binary())], names=["root", "name", "hashes"]).filter(right)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([x.tobytes() for x in sets], pa.binary())], names=["root", "name", "n", "hashes"]).filter(right)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by root; a root may run over several batches."""
+        """Rows come sorted by root and block; a block may run over several batches."""
+        only_cache()
         at, held = None, {}
 
         def found() -> list[tuple[int, int]]:
@@ -374,36 +526,65 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
 
         for b in batches:
             links = []
-            for root, name, h in zip(*(c.to_pylist() for c in b.columns)):
-                if root != at:
+            for root, block, name, h in zip(*(c.to_pylist() for c in b.columns)):
+                if (root, block) != at:
                     links += found()
-                    at, held = root, {}
+                    at, held = (root, block), {}
                 held[name] = np.frombuffer(h, np.uint64)
-            yield from _emit(links, ("a", "b"))
-        yield from _emit(found(), ("a", "b"))
-
-    spark = docs.sparkSession
-    texts = id_text(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    prints = written(texts.mapInArrow(sketches, "doc_id long, name long, " + ", ".join(f"{c} long" for c in columns)), "sketches")
-    distinct = written(prints.groupBy("w0").agg(*[F.min_by(c, F.struct(*columns)).alias(c) for c in columns[1:]]), "distinct-sketches")
-    arrow_rows(spark, 20_000)
-    close = written(_by_key(distinct.select(*columns).mapInArrow(keyed, "key long, w0 long"), ["w0"], neighbours, "key long, w0 long").distinct(), "close-sketches")
-    near = _by_key(close.join(distinct, "w0"), columns, lambda key, fp: tree(fp, differ), "a long, b long")
-    group = components(written(near.distinct(), "sketch-links")).select(F.col("node").alias("w0"), F.col("component").alias("root"))
-    arrow_rows(spark)
-    firsts = prints.groupBy("name").agg(F.min(F.struct("doc_id", "w0")).alias("f")).select("name", "f.doc_id", "f.w0")
-    placed = written(firsts.join(group, "w0", "left").select("name", F.col("doc_id").alias("i"), F.coalesce("root", "w0").alias("root")), "groups")
-    several = placed.groupBy("root").count().where("count > 1").select("root")
-    asked = texts.join(placed.join(several, "root"), F.col("doc_id") == F.col("i")).select("root", "name", "text")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sets = asked.mapInArrow(sets_of, "root long, name long, hashes binary").repartition(n, "root").sortWithinPartitions("root")
-    found = written(sets.mapInArrow(compare, "a long, b long"), "alike")
-    named = _named(prints.select("doc_id", F.col("name").alias("fp")), found)
-    return prints.select("doc_id", F.col("name").alias("fp")).join(named, "fp").select("doc_id", "component_id")
+            yield batch(links)
+        yield batch(found())
+
+    def batch(links: list) -> pa.RecordBatch:
+        pairs = np.array(links, np.uint64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([_signed(pairs[:, 0]), _signed(pairs[:, 1])], names=["a", "b"])
+
+    def linked(rows: DataFrame, what: str) -> DataFrame:
+        """rows: root, block, name, hashes."""
+        dealt = rows.select("root", "block", "name", "hashes").repartition(parallel, "root", "block").sortWithinPartitions("root", "block")
+        return written(dealt.mapInArrow(compare, "a long, b long"), what)
+
+    def blocks(rows: DataFrame, total: str) -> F.Column:
+        return F.ceil(F.col(total) / BLOCK).cast("int")
+
+    def parts(links: DataFrame, rows: DataFrame) -> DataFrame:
+        part = components(links).select(F.col("node").alias("m"), F.col("component").alias("part"))
+        return rows.select("root", "name", "n").join(part, F.col("name") == F.col("m"), "left").select("root", "name", "n", F.coalesce("part", "name").alias("part"))
+
+    several = placed.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("members")).where("members > 1").select("root", "total")
+    asked = placed.join(several, "root").select("root", "name", "n", "i").join(texts, F.col("doc_id") == F.col("i")).select("root", "name", "n", "text")
+    sets = written(asked.mapInArrow(sets_of, "root long, name long, n long, hashes binary"), "shingle-sets")
+    sizes = written(several, "group-sizes")
+    own = sets.join(sizes, "root").withColumn("of", blocks(sets, "total")).withColumn("block", F.pmod(F.xxhash64("name"), F.col("of")))
+    found = linked(own, "alike")
+    large = sizes.where(F.col("total") > BLOCK)
+    if large.isEmpty():
+        return found
+    hot = written(own.join(large.select("root"), "root", "left_semi"), "large-groups")
+    first = parts(found, hot).where("name = part")
+    least = hot.drop("of", "block").join(first.select("name"), "name", "left_semi")
+    of_least = least.groupBy("root").agg(F.sum("n").alias("all_n"))
+    second = linked(least.join(of_least, "root").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "name"), blocks(least, "all_n"))), "alike-parts")
+    both = written(found.unionByName(second), "alike-so-far")
+    in_part = written(parts(both, hot), "parts")
+    largest = in_part.groupBy("root", "part").agg(F.sum("n").alias("size")).groupBy("root").agg(F.max_by("part", F.struct("size", "part")).alias("largest"))
+    rest = written(in_part.join(largest, "root").where("part <> largest").select("root", "name", "n"), "apart")
+    if rest.isEmpty():
+        return both
+    of_rest = rest.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("rest_of"))
+    mine = hot.join(rest.select("name"), "name", "left_semi").join(of_rest, "root").withColumn("left", F.pmod(F.xxhash64(F.lit(2), "name"), F.col("rest_of")))
+    mine = mine.withColumn("right", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - F.lit(1).cast("long"))))
+    others = hot.join(of_rest, "root").withColumn("left", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest_of") - F.lit(1).cast("long")))).withColumn("right", F.col("block"))
+    pairs = mine.select("root", "name", "hashes", "left", "right").unionByName(others.select("root", "name", "hashes", "left", "right"))
+    third = linked(pairs.withColumn("block", F.xxhash64("left", "right")), "alike-apart")
+    return written(both.unionByName(third), "alike-all")
 
 
 def first_of_each(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs but those with a near-duplicate of smaller id in their component; columns as they are. Rows without an id stay."""
+    """The rows of docs but those with a near-duplicate of smaller id in their component; columns as they are.
+
+    Rows without an id stay; repeated rows of the smallest id stay together. Columns of any name pass through.
+    """
     linked = near_duplicates(docs, similarity, id_col=id_col, text_col=text_col)
-    gone = written(linked.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "near-duplicates")
-    return docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
+    gone = written(linked.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "near-duplicates")
+    kept = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id")).join(gone, F.col("id") == F.col("gone"), "left_anti")
+    return kept.select("row.*")

@@ -17,7 +17,8 @@ Files hold ascending document ids (nulls first, equal ids by text), file by
 file; the manifest has one row per file, with the tokens before it.
 
 The tokenizers library encodes; where its pre-tokenizer is the known one that
-never crosses white space, each distinct word is encoded once per worker.
+never crosses white space, each distinct word is encoded once while a worker
+remembers it, and texts are cut into words a part at a time.
 
 Edge cases: null and empty texts give the end id alone; very long texts one
 long frame; equal ids stay separate documents; an empty table gives no file
@@ -41,10 +42,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbago.llm.common import arrow_rows, fresh_path, id_text
+from plumbago.llm.common import PART, Recent, arrow_rows, fresh_path, id_text, in_parts, only_cache
 
 INDEX_MAGIC, TABLE_MAGIC, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-CACHED, CACHED_BYTES = 1_000_000, 48
+#: Bytes of words that a worker remembers, and the longest of them.
+REMEMBERED, REMEMBERED_WORD = 96 << 20, 48
 MANIFEST = "path string, part int, n_docs long, n_tokens long"
 PUNCTUATED = re.compile(rb"(?<=[A-Za-z0-9])([.,;:!?])")
 _loaded: dict[str, "WordTokenizer"] = {}
@@ -79,7 +81,7 @@ class WordTokenizer:
         self.by_word = self.by_word and bool(marks) and len(marks) == len(spec["added_tokens"])
         self.specials = [x["content"].encode().lower() for x in marks]
         self.mark, self.mark_id = (marks[0]["content"], marks[0]["id"]) if marks else ("", -1)
-        self.ids: dict[bytes, bytes] = {}
+        self.ids = Recent(REMEMBERED)
 
     def pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
@@ -94,31 +96,40 @@ class WordTokenizer:
             ids = [*self.encode(self.mark.join([w.decode() for w in part])), self.mark_id]
             for w in part:
                 end = ids.index(self.mark_id, at)
-                self.ids[w] = self.pack(ids[at:end])
+                packed = self.pack(ids[at:end])
+                self.ids.add(w, packed, len(packed) + len(w))
                 at = end + 1
 
     def cut(self, text: bytes) -> list[bytes]:
         return PUNCTUATED.sub(rb" \1", text.lower() if self.lower else text).split()
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        cut: dict[int, list[bytes]] = {}
+        out: list[bytes] = [b""] * len(texts)
+        cut: list[tuple[int, list[bytes]]] = []
+        held = 0
+
+        def join() -> None:
+            new = self.ids.missing(set().union(*(x for _, x in cut)))
+            self.learn(new)
+            known = self.ids.__getitem__
+            for k, x in cut:
+                out[k] += b"".join(map(known, x))
+            for w in new:
+                if len(w) > REMEMBERED_WORD:
+                    del self.ids[w]
+
         for k, text in enumerate(texts):
             raw = text.encode()
-            if self.by_word and not any(x in raw.lower() for x in self.specials):
-                cut[k] = self.cut(raw)
-            else:
+            if not self.by_word or any(x in raw.lower() for x in self.specials):
                 out[k] = self.pack(self.encode(text))
-        if len(self.ids) > CACHED:
-            self.ids.clear()
-        new = set().union(*cut.values()).difference(self.ids)
-        self.learn(new)
-        known = self.ids.__getitem__
-        for k, x in cut.items():
-            out[k] = b"".join(map(known, x))
-        for w in new:
-            if len(w) > CACHED_BYTES:
-                del self.ids[w]
+                continue
+            for part in in_parts(raw):
+                cut.append((k, self.cut(part)))
+                held += len(part)
+                if held > 4 * PART:
+                    join()
+                    cut, held = [], 0
+        join()
         return out
 
 
@@ -220,6 +231,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, task, out = load(tokenizer), TaskContext.get(), None
+        only_cache("words", words.ids.forget)
         end = words.pack([end_id])
         for b in batches:
             for i, ids in zip(b.column(0).to_pylist(), words.batch(b.column(1).to_pylist())):
@@ -233,7 +245,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, id_col:
 
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc()]
-    files = id_text(docs, id_col, text_col).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(*order).mapInArrow(run, MANIFEST)
+    by = [F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64).asc()]  # many rows of one id spread over files
+    files = id_text(docs, id_col, text_col).repartitionByRange(n, *by).sortWithinPartitions(*order).mapInArrow(run, MANIFEST)
     manifest, start = [], 0
     for f in sorted(files.collect(), key=lambda f: f.part):
         manifest.append((f.path, f.part, start))

@@ -42,3 +42,30 @@ def test_alike_matches_brute_force():
         assert all(close(a, b) for a, b in links)
         want = brute.least_reachable(range(len(sets)), close)
         assert brute.least_reachable(range(len(sets)), lambda a, b: (a, b) in links or (b, a) in links) == want
+
+
+def test_large_groups_in_blocks(spark, monkeypatch):
+    """Blocks far smaller than a group find the same components."""
+    rng = random.Random(11)
+    docs = []
+    for k in range(3):
+        w = [f"{rng.randrange(10**6)}" for _ in range(120)]
+        for _ in range(30):
+            v = list(w)
+            for _ in range(rng.randrange(4)):
+                v[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+            docs.append((len(docs), " ".join(v)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    monkeypatch.setattr(simhash, "BLOCK", 400)
+    monkeypatch.setattr(simhash, "MOST", 6)
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == want
+    exact = brute.least_reachable(range(len(docs)), lambda a, b: jaccard(docs[a][1], docs[b][1]) >= 0.8)
+    assert want == exact
+
+
+def test_columns_of_any_name_pass_through(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 1, 2, 3), (2, "a b c d e f", 4, 5, 6), (None, None, 0, 0, 0)], "doc_id long, text string, gone_id long, gone int, name int")
+    got = simhash.first_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, "a b c d e f", 1, 2, 3), (None, None, 0, 0, 0)]

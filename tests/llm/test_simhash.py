@@ -50,3 +50,16 @@ def test_odd_rows(spark):
     got = sorted((r.doc_id or 0, r.component_id) for r in simhash.linked_components(df).collect())
     assert got == [(0, None), (3, 3), (4, 3), (5, 3), (6, 6), (7, 6), (7, 6), (8, 8)]
     assert simhash.linked_components(df.limit(0)).count() == 0
+
+
+def test_crowded_keys_are_dealt(spark, monkeypatch):
+    """With few members to a search, the same components come out of smaller keys."""
+    rng = random.Random(9)
+    centre = rng.getrandbits(64)
+    prints = {centre ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(0, 9))}) for _ in range(400)}
+    signed = np.array(sorted(prints), dtype=np.uint64).view(np.int64).tolist()
+    monkeypatch.setattr(simhash, "MOST", 5)
+    pairs = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    got = {r.node: r.component for r in components(pairs).collect()}
+    want = brute.least_reachable(signed, lambda a, b: ((a ^ b) % 2**64).bit_count() <= 3)
+    assert {x: got.get(x, x) for x in signed} == want
