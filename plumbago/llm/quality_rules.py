@@ -2,19 +2,25 @@
 
 Counts per text are taken natively (see measures). A document fails the base
 rules with fewer than ten words, or with more than a fifth of its words in
-five-word windows found twice or more in it. The other rules compare a ratio
-with fences drawn from its quartiles among documents of the same language and
-source that pass the base rules:
+five-word windows found twice or more in it. (Windows are compared by 64-bit
+hashes: in a text of n words two unequal ones pass for equal with a chance of
+n^2 / 2^65.) The other rules compare a ratio with fences drawn from quantiles
+among documents of the same language and source that pass the base rules:
   - word length, in hundredths of a code point: within three interquartile
-    ranges of the quartiles, and for n words 700 / sqrt(n) more;
-  - symbols per thousand words: at most three ranges above the upper quartile,
-    and 50 more and two symbols more;
-  - repeated lines per thousand: likewise, and 400 more.
-
-Quartiles come from sketches: counts of values rounded down to six significant
-bits, so relative error is below 1/32. They are sums, so they merge exactly in
-any order: by language and source; by language where a source has fewer than
-`few` documents; over all where the language has.
+    ranges of the quartiles, and for n words 700 / sqrt(n) more, three standard
+    errors of a mean of n word lengths;
+  - symbols a thousand words: a rate of the 85th percentile and three times its
+    distance from the median, so that up to a seventh of junk doesn't move it;
+  - repeated lines a thousand: a rate of the 99th percentile.
+Of a rate, a document may hold the expected count c, 3 sqrt(c) and 3 more: what
+chance gives a short text. No fence is fixed: where the documents of a source
+use symbols or repeat lines, its limits rise with them.
+
+Quantiles come from sketches: counts of values rounded down to eight significant
+bits, so relative error is below 1/128. They are sums, so they merge exactly in
+any order: by language and source, by language, over all. A small source leans
+on its language and a small language on all: as if it had PRIOR documents more,
+with the quantiles of the level above.
 
 Edge cases: a null text is the empty text and fails; null languages and
 sources are values of their own; very long texts count whole, in memory linear
@@ -30,8 +36,9 @@ from pyspark.sql import functions as F
 from plumbago.llm.common import SHINGLE_WORDS, bind, whole_text, words, written
 
 SYMBOLS = "#*$%&|<>"
-LEAST_WORDS, REPEATED_PERCENT, FEW = 10, 20, 50
-RATIOS = ("length", "symbols", "lines")
+LEAST_WORDS, REPEATED_PERCENT, PRIOR, SIGNIFICANT = 10, 20, 10, 8
+#: The two percentiles that are drawn of each ratio.
+RATIOS = {"length": (25, 75), "symbols": (50, 85), "lines": (99, 99)}
 
 
 def count_symbols(text: Column) -> Column:
@@ -97,51 +104,56 @@ def with_ratios(measured: DataFrame) -> DataFrame:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """(lang, source, ratio, bucket, n): mergeable counts of each ratio's values, rounded down to six significant bits."""
+    """(lang, source, ratio, bucket, n): mergeable counts of each ratio's values, rounded down to eight significant bits."""
     flat = rows.select("lang", "source", F.explode(F.map_from_arrays(F.array(*map(F.lit, RATIOS)), F.array(*RATIOS))).alias("ratio", "value"))
-    low = F.greatest(F.length(F.bin("value")) - 6, F.lit(0))
+    low = F.greatest(F.length(F.bin("value")) - SIGNIFICANT, F.lit(0))
     bucket = F.expr("shiftleft(shiftright(value, low), low)")
     return flat.withColumn("low", low).groupBy("lang", "source", "ratio", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, docs, and for each ratio an array of the lower and the upper quartile."""
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, docs, and for each ratio an array of its two quantiles."""
     merged = sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
     whole = Window.partitionBy(*keys, "ratio")
     ranked = merged.withColumns({"below": F.sum("n").over(whole.orderBy("bucket")), "docs": F.sum("n").over(whole)})
-    at = lambda q: F.min(F.when(4 * F.col("below") >= q * F.col("docs"), F.col("bucket")))
-    each = ranked.groupBy(*keys, "ratio").agg(F.first("docs").alias("docs"), F.array(at(1), at(3)).alias("q"))
+    at = lambda k: F.min(F.when(100 * F.col("below") >= F.get(F.element_at(levels, F.col("ratio")), F.lit(k)) * F.col("docs"), F.col("bucket"))).cast("double")
+    levels = F.create_map(*[x for r, q in RATIOS.items() for x in (F.lit(r), F.array(*map(F.lit, q)))])
+    each = ranked.groupBy(*keys, "ratio").agg(F.first("docs").alias("docs"), F.array(at(0), at(1)).alias("q"))
     return each.groupBy(*keys).agg(F.first("docs").alias("docs"), *[F.max(F.when(F.col("ratio") == r, F.col("q"))).alias(r) for r in RATIOS])
 
 
-def thresholds(sketch: DataFrame, few: int = FEW) -> DataFrame:
-    """lang, source and the quartiles that hold there: the source's, else the language's, else those of all."""
-    levels = [quartiles(sketch, keys) for keys in (["lang", "source"], ["lang"], [])]
-    own, by_lang, by_all = (df.select(*[c for c in df.columns if c in ("lang", "source")], F.struct("docs", *RATIOS).alias(f"q{k}")) for k, df in enumerate(levels))
+def _leaning(own: str, above: Column, prior: int) -> Column:
+    """Quantiles of a level, with `prior` documents of the level above."""
+    docs = F.col(f"{own}.docs").cast("double")
+    mean = lambda r: F.zip_with(F.col(f"{own}.{r}"), above[r], lambda a, b: (docs * a + float(prior) * b) / (docs + float(prior)))
+    return F.struct(*[mean(r).alias(r) for r in RATIOS])
+
+
+def thresholds(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """lang, source and the quantiles t that hold there."""
+    own, by_lang = (quantiles(sketch, keys).select(*keys, F.struct("docs", *RATIOS).alias(name)) for keys, name in ((["lang", "source"], "q0"), (["lang"], "q1")))
     by_lang = by_lang.withColumnRenamed("lang", "lang_")
-    joined = own.join(by_lang, own.lang.eqNullSafe(by_lang.lang_)).join(by_all, F.lit(True), "left")
-    pick = F.when(F.col("q0.docs") >= few, F.col("q0")).when(F.col("q1.docs") >= few, F.col("q1")).otherwise(F.col("q2"))
-    return joined.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), pick.alias("t"))
+    joined = own.join(by_lang, own.lang.eqNullSafe(by_lang.lang_)).withColumn("q2", quantiles(sketch, []).select(F.struct("docs", *RATIOS)).scalar())
+    joined = joined.withColumn("l", _leaning("q1", F.col("q2"), prior))
+    return joined.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), _leaning("q0", F.col("l"), prior).alias("t"))
 
 
 def verdict() -> Column:
-    """Whether a document that passes the base rules keeps within the fences t."""
+    """Whether a document that passes the base rules keeps within the fences drawn from t."""
+    low, high = F.col("t.length")[0], F.col("t.length")[1]
+    spread, slack = 3.0 * (high - low), 700.0 / F.sqrt(F.greatest("n_words", F.lit(1)).cast("double"))
+    symbols = F.col("t.symbols")[1] + 3.0 * (F.col("t.symbols")[1] - F.col("t.symbols")[0])
 
-    def fence(ratio: str, side: int) -> Column:
-        q = F.col(f"t.{ratio}")
-        return q[1] + 3 * (q[1] - q[0]) if side > 0 else q[0] - 3 * (q[1] - q[0])
+    def within(count: str, rate: Column, of: str) -> Column:
+        expected = rate * F.col(of).cast("double") / 1000.0
+        return F.col(count).cast("double") <= expected + 3.0 * F.sqrt(expected) + 3.0
 
-    n, slack = F.col("n_words"), 700 / F.sqrt(F.greatest("n_words", F.lit(1)))
-    return (
-        F.col("length").between(fence("length", -1) - slack, fence("length", 1) + slack)
-        & (1000 * F.col("n_symbols") <= (fence("symbols", 1) + 50) * n + 2000)
-        & (F.col("lines") <= fence("lines", 1) + 400)
-    )
+    return F.col("length").cast("double").between(low - spread - slack, high + spread + slack) & within("n_symbols", symbols, "n_words") & within("n_dup_lines", F.col("t.lines")[1], "n_lines")
 
 
-def apply_rules(docs: DataFrame, few: int = FEW, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def apply_rules(docs: DataFrame, prior: int = PRIOR, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """doc_id, the counts, base_failed and kept for each document."""
     rows = written(with_ratios(measures(docs, id_col, text_col, lang_col, source_col)), "measures")
-    limits = thresholds(sketches(rows.where("not base_failed")), few)
+    limits = thresholds(sketches(rows.where("not base_failed")), prior)
     joined = rows.join(limits, rows.lang.eqNullSafe(limits.t_lang) & rows.source.eqNullSafe(limits.t_source), "left")
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(verdict(), F.lit(False))).alias("kept"))

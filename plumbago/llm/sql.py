@@ -20,7 +20,7 @@ r AS (
          1000 * n_dup_lines // greatest(n_lines, 1) AS lines
   FROM m),
 flat AS (
-  SELECT lang, source, ratio, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS bucket
+  SELECT lang, source, ratio, (v >> greatest(length(bin(v)) - 8, 0)) << greatest(length(bin(v)) - 8, 0) AS bucket
   FROM (SELECT lang, source, unnest(['length', 'symbols', 'lines']) AS ratio, unnest([length, symbols, lines]) AS v FROM r WHERE NOT base_failed)),
 levels AS (
   SELECT 0 AS level, lang, source, ratio, bucket FROM flat UNION ALL
@@ -29,24 +29,28 @@ levels AS (
 hist AS (SELECT level, lang, source, ratio, bucket, count(*) AS n FROM levels GROUP BY ALL),
 cum AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY level, lang, source, ratio) AS docs FROM hist),
 q AS (
-  SELECT level, lang, source, ratio, any_value(docs) AS docs, min(bucket) FILTER (4 * below >= docs) AS lo, min(bucket) FILTER (4 * below >= 3 * docs) AS hi
+  SELECT level, lang, source, ratio, any_value(docs)::DOUBLE AS docs,
+         min(bucket) FILTER (100 * below >= CASE ratio WHEN 'length' THEN 25 WHEN 'symbols' THEN 50 ELSE 99 END * docs)::DOUBLE AS lo,
+         min(bucket) FILTER (100 * below >= CASE ratio WHEN 'length' THEN 75 WHEN 'symbols' THEN 85 ELSE 99 END * docs)::DOUBLE AS hi
   FROM cum GROUP BY ALL),
+l AS (
+  SELECT b.lang, b.ratio, (b.docs * b.lo + 10.0::DOUBLE * c.lo) / (b.docs + 10.0::DOUBLE) AS lo, (b.docs * b.hi + 10.0::DOUBLE * c.hi) / (b.docs + 10.0::DOUBLE) AS hi
+  FROM q b JOIN q c ON c.level = 2 AND b.ratio = c.ratio WHERE b.level = 1),
 t AS (
-  SELECT a.lang, a.source, a.ratio,
-         CASE WHEN a.docs >= 50 THEN a.lo WHEN b.docs >= 50 THEN b.lo ELSE c.lo END AS lo,
-         CASE WHEN a.docs >= 50 THEN a.hi WHEN b.docs >= 50 THEN b.hi ELSE c.hi END AS hi
-  FROM q a JOIN q b ON b.level = 1 AND a.ratio = b.ratio AND a.lang IS NOT DISTINCT FROM b.lang
-           JOIN q c ON c.level = 2 AND a.ratio = c.ratio
-  WHERE a.level = 0),
+  SELECT a.lang, a.source, a.ratio, (a.docs * a.lo + 10.0::DOUBLE * l.lo) / (a.docs + 10.0::DOUBLE) AS lo, (a.docs * a.hi + 10.0::DOUBLE * l.hi) / (a.docs + 10.0::DOUBLE) AS hi
+  FROM q a JOIN l ON a.ratio = l.ratio AND a.lang IS NOT DISTINCT FROM l.lang WHERE a.level = 0),
 f AS (
   SELECT lang, source, max(lo) FILTER (ratio = 'length') AS len_lo, max(hi) FILTER (ratio = 'length') AS len_hi,
-         max(lo) FILTER (ratio = 'symbols') AS sym_lo, max(hi) FILTER (ratio = 'symbols') AS sym_hi,
-         max(lo) FILTER (ratio = 'lines') AS lin_lo, max(hi) FILTER (ratio = 'lines') AS lin_hi
-  FROM t GROUP BY ALL)
+         max(lo) FILTER (ratio = 'symbols') AS sym_lo, max(hi) FILTER (ratio = 'symbols') AS sym_hi, max(hi) FILTER (ratio = 'lines') AS lin
+  FROM t GROUP BY ALL),
+e AS (
+  SELECT r.*, len_lo, len_hi, 3.0::DOUBLE * (len_hi - len_lo) AS spread, 700.0::DOUBLE / sqrt(greatest(n_words, 1)::DOUBLE) AS slack,
+         (sym_hi + 3.0::DOUBLE * (sym_hi - sym_lo)) * n_words::DOUBLE / 1000.0::DOUBLE AS e_sym, lin * n_lines::DOUBLE / 1000.0::DOUBLE AS e_lin
+  FROM r LEFT JOIN f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(
-         length BETWEEN len_lo - 3 * (len_hi - len_lo) - 700 / sqrt(greatest(n_words, 1)) AND len_hi + 3 * (len_hi - len_lo) + 700 / sqrt(greatest(n_words, 1))
-         AND 1000 * n_symbols <= (sym_hi + 3 * (sym_hi - sym_lo) + 50) * n_words + 2000
-         AND lines <= lin_hi + 3 * (lin_hi - lin_lo) + 400, false) AS kept
-FROM r LEFT JOIN f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source
+         length::DOUBLE BETWEEN len_lo - spread - slack AND len_hi + spread + slack
+         AND n_symbols::DOUBLE <= e_sym + 3.0::DOUBLE * sqrt(e_sym) + 3.0::DOUBLE
+         AND n_dup_lines::DOUBLE <= e_lin + 3.0::DOUBLE * sqrt(e_lin) + 3.0::DOUBLE, false) AS kept
+FROM e
 """

@@ -48,3 +48,23 @@ def test_thresholds_follow_the_source(spark):
 def test_native(spark):
     plan = quality_rules.measures(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_limits_differ_between_groups_and_lean_on_their_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sketch = quality_rules.sketches(quality_rules.with_ratios(quality_rules.measures(docs)).where("not base_failed"))
+    limits = quality_rules.thresholds(sketch).collect()
+    for ratio in quality_rules.RATIOS:
+        assert len({tuple(r.t[ratio]) for r in limits}) > 2, ratio
+    prose = "one two three four five six seven eight nine ten eleven twelve {}"
+    rows = [(i, prose.format("x"), "en", "large") for i in range(1000)] + [(i, prose.format("x #a #b #c #d #e #f"), None, None) for i in range(1000, 1002)] + [(i, prose.format("#a #b #c #d #e #f"), "en", "small") for i in range(2000, 2003)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    t = {(r.t_lang, r.t_source): r.t.symbols[1] for r in quality_rules.thresholds(quality_rules.sketches(quality_rules.with_ratios(quality_rules.measures(df)).where("not base_failed"))).collect()}
+    own = t["en", "small"] * 13 / 3
+    assert t["en", "large"] < 1 and 300 < own < 600 and 0 < t[None, None] < 300
+    assert quality_rules.apply_rules(df).where("doc_id >= 1000").count() == 5
+
+
+def test_whole_query_is_native(spark):
+    plan = queries.op1_quality_rules(spark, SF)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan
