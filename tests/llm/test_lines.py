@@ -1,16 +1,35 @@
 import random
 
-from plumbago.llm import lines, queries
+import xxhash
+
+from plumbago.llm import lines
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_query_matches_brute_force(spark):
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    want = brute.line_chunks_removed(docs, lines.chunks)
-    got = {r.doc_id: r.kept_sha256 for r in queries.op6_lines(spark, SF).collect()}
-    assert got == {i: brute.sha(t) for i, t in want.items()}
+def test_chunks_match_brute_force(spark):
+    """Chunks alone; the query also removes the runs between them, see test_line_runs."""
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    want = brute.line_chunks_removed([(r.doc_id, r.text) for r in df.collect()], lines.chunks)
+    assert {r.doc_id: r.text for r in lines.deduplicate_lines(df).collect()} == want
+
+
+def test_boundaries_by_rule():
+    """A boundary follows a line where the hash rolled over it and the line before has its bit clear, from the second line on."""
+    rng = random.Random(1)
+    text = [rng.choice([b"", b" "]) if rng.random() < 0.1 else f"line {rng.randrange(99)}".encode() for _ in range(400)]
+    at = [k for k, x in enumerate(text) if x.strip()]
+    cuts, counted = [], 0
+    for n, k in enumerate(at):
+        counted += 1
+        hashes = [xxhash.xxh3_64_intdigest(text[j]) for j in at[max(0, n - 1) : n + 1]]
+        rolled = (hashes[0] * 0x9E3779B97F4A7C15 + hashes[1]) % 2**64 if n else hashes[0]
+        if counted >= 2 and (rolled >> 32) % 2 == 0 or counted == lines.LONGEST:
+            cuts.append(k + 1)
+            counted = 0
+    edges = [0, *cuts] + ([len(text)] if not cuts or cuts[-1] < len(text) else [])
+    assert lines.chunks(text) == list(zip(edges, edges[1:]))
 
 
 def test_shared_passages_and_odd_rows(spark):

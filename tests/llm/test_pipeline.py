@@ -2,8 +2,9 @@ import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline
-from plumbago.llm import lines, mixing, simhash
+from plumbago.llm import mixing, simhash
 from tests.llm import brute
+from tests.llm.test_line_runs import runs_removed
 from tests.llm.test_one_permutation import jaccard
 
 SF = "/root/testdata/sf0.001"
@@ -27,7 +28,7 @@ def test_stages_in_turn(spark, tmp_path):
     assert len(clean & {r.doc_id for r in after}) >= 0.98 * len(clean)
 
     before, after = at["line_dedup"]
-    assert {r.doc_id: r.text for r in after} == brute.line_chunks_removed([(r.doc_id, r.text) for r in before], lines.chunks)
+    assert {r.doc_id: r.text for r in after} == runs_removed([(r.doc_id, r.text) for r in before])
     assert all(r.n_chars == len(r.text) for r in after)
 
     before, after = at["near_dedup"]
