@@ -7,17 +7,20 @@ letters. The expected severity is the sum of P(grade > k) over k; a text is
 toxic if P(grade > 0) > 1/2.
 
 Training. A bounded sample of labelled documents (about `sample`, by a hash of
-the id) is graded: 0 if the label says clean; labelled toxic texts are ranked by
-how many different telling features they have, in three equal parts.
-Telling features are those `ratio` times as often among toxic as among clean
-documents with a log-likelihood ratio of at least `evidence`, which chance
-among as many features as there are does not reach; only they get weights.
+the id) is graded: 0 if the label says clean. Toxic ones are graded by how often
+they use telling words, by features that the other half of the sample found
+telling, so that no document's own label decides what counts; ranked by it, they
+make three equal parts. Telling features are those `ratio` times as often among
+toxic as among clean documents with a log-likelihood ratio of at least
+`evidence`; all of them get weights, which the fit holds small where few
+documents speak for them.
 
 Edge cases: a null or empty text has no features and the severity of one; a
 document without an id is scored like any other; ids that are labelled twice
 count as toxic if any label does; null labels and labels of unknown ids are
-ignored; without labels of both kinds everything is clean (severity 0); very
-long texts count whole; an empty table gives an empty table; columns other
+ignored; without labels of both kinds everything is clean (severity 0);
+repeated rows of a labelled id each count; toxic documents that use equally
+many are ranked by their features; very long texts count whole, a part at a time; an empty table gives an empty table; columns other
 than id, text and label are ignored.
 """
 
@@ -33,11 +36,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbago.llm.common import arrow_rows, id_text, sampled, written
+from plumbago.llm.common import PART, Recent, arrow_rows, id_text, in_parts, only_cache, sampled, written
 
 WORD = re.compile(r"\w+")
 DIMENSIONS, GRADES = 1 << 20, 4
-SAMPLE, EVIDENCE, RATIO, KEPT_FEATURES = 8000, 25.0, 12.0, 4096
+SAMPLE, EVIDENCE, RATIO = 8000, 12.0, 10.0
+REMEMBERED = 24 << 20
+
+
+def words(text: str) -> Iterator[list[str]]:
+    """The words of a text in lower case, a part of it at a time."""
+    if len(text) <= PART:
+        yield WORD.findall(text.lower())
+    else:
+        for part in in_parts(text.encode()):
+            yield WORD.findall(part.decode().lower())
 
 
 def features(word: str) -> set[int]:
@@ -51,23 +64,28 @@ class Severity:
 
     weights: dict[int, float] = field(default_factory=dict)
     thresholds: list[float] = field(default_factory=list)
-    _known: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
+    _known: Recent = field(default_factory=lambda: Recent(REMEMBERED), repr=False)
+
+    def telling(self, found: set[str]) -> dict[str, tuple[int, ...]]:
+        """The telling features of words, by word."""
+        new, known, weights = self._known.missing(found), self._known, self.weights
+        for w in new:
+            known.add(w, tuple(sorted(x for x in features(w) if x in weights)), 60 + len(w))
+        return known
 
     def present(self, text: str) -> list[int]:
         """Telling features of a text, each once."""
-        known, weights, out = self._known, self.weights, set()
-        if len(known) > 400_000:
-            known.clear()
-        for w in set(WORD.findall(text.lower())):
-            f = known.get(w)
-            if f is None:
-                f = tuple(sorted(x for x in features(w) if x in weights))
-                if len(w) <= 40:
-                    known[w] = f
-            if f:
-                out.update(f)
+        out: set[int] = set()
+        for part in words(text):
+            found = set(part)
+            known = self.telling(found)
+            out.update(*(known[w] for w in found))
         return sorted(out)
 
+    def uses(self, text: str) -> int:
+        """How many of a text's words have a telling feature."""
+        return sum(1 for part in words(text) for known in (self.telling(set(part)),) for w in part if known[w])
+
     def above(self, text: str) -> list[float]:
         """P(grade > k) for each k."""
         if not self.thresholds:
@@ -102,44 +120,56 @@ def _fit(x: list[np.ndarray], y: np.ndarray, n: int, rounds: int = 400, decay: f
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, evidence: float = EVIDENCE, ratio: float = RATIO, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Severity:
-    """Fit on about `sample` labelled documents. The driver receives counts of at most DIMENSIONS features, and the telling ones of each sampled document."""
+    """Fit on about `sample` labelled documents. The driver receives the telling features, at most DIMENSIONS, and those of each sampled document."""
     spark = docs.sparkSession
     arrow_rows(spark)
     marked = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("i").agg(F.max("y").alias("y"))
     chosen = marked.where(sampled(F.xxhash64("i"), marked.count(), sample))
-    rows = written(id_text(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("i")).select("y", "text"), "labelled")
+    half = F.pmod(F.xxhash64(F.lit(1), "i"), F.lit(2)).cast("int")
+    rows = written(id_text(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("i")).select(F.when(F.col("y") > 0, 1).otherwise(0).alias("y"), half.alias("half"), "text"), "labelled")
 
     def all_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache()
         for b in batches:
-            y, f = [], []
-            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = set().union(*map(features, set(WORD.findall(text.lower()))))
-                f += found
-                y += [label] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(f, pa.int32())], names=["y", "f"])
-
-    sizes = {r.y > 0: r.n for r in rows.groupBy(F.when(F.col("y") > 0, 1).otherwise(0).alias("y")).agg(F.count("*").alias("n")).collect()}
-    toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
+            for label, h, text in zip(*(c.to_pylist() for c in b.columns)):
+                found = np.fromiter(set().union(*(features(w) for part in words(text) for w in set(part))), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), x, np.int32)) for x in (label, h)] + [pa.array(found)], names=["y", "half", "f"])
+
+    sizes = {(r.y, r.half): r.n for r in rows.groupBy("y", "half").agg(F.count("*").alias("n")).collect()}
+    toxic, clean = (sum(n for (y, _), n in sizes.items() if y == label) for label in (1, 0))
     if not toxic or not clean:
         return Severity()
-    a, b = F.sum(F.when(F.col("y") > 0, 1).otherwise(0)), F.sum(F.when(F.col("y") > 0, 0).otherwise(1))
-    counts = rows.mapInArrow(all_features, "y int, f int").groupBy("f").agg(a.alias("a"), b.alias("b"))
-    lift = ((F.col("a") + 0.5) / (toxic + 1)) / ((F.col("b") + 0.5) / (clean + 1))
-    share = (F.col("a") + F.col("b")) / (toxic + clean)
-    g = 2 * sum((F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (share * n))).otherwise(0.0) for c, n in (("a", toxic), ("b", clean))), F.lit(0.0))
-    telling = [r.f for r in counts.where((lift >= ratio) & (g >= evidence)).orderBy(g.desc(), "f").limit(KEPT_FEATURES).collect()]
+    each = [F.sum(((F.col("y") == y) & (F.col("half") == h)).cast("long")).alias(f"n{y}{h}") for y in (0, 1) for h in (0, 1)]
+    counts = rows.mapInArrow(all_features, "y int, half int, f int").groupBy("f").agg(*each)
+
+    def is_telling(halves: tuple[int, ...]) -> F.Column:
+        """By the counts of these halves of the sample."""
+        of = [sum(sizes.get((y, h), 0) for h in halves) for y in (0, 1)]
+        n = [sum((F.col(f"n{y}{h}") for h in halves), F.lit(0)) for y in (0, 1)]
+        if not all(of):
+            return F.lit(False)
+        share = (n[0] + n[1]) / sum(of)
+        g = 2 * sum((F.when(n[y] > 0, n[y] * F.log(n[y] / (share * of[y]))).otherwise(0.0) for y in (0, 1)), F.lit(0.0))
+        return ((n[1] + 0.5) / (of[1] + 1) >= ratio * (n[0] + 0.5) / (of[0] + 1)) & (g >= evidence)
+
+    kinds = [is_telling((0, 1)), is_telling((0,)), is_telling((1,))]
+    found = counts.select("f", *[k.alias(f"t{i}") for i, k in enumerate(kinds)]).where("t0 or t1 or t2").orderBy("f").collect()
+    telling = [r.f for r in found if r.t0]
     if not telling:
         return Severity()
-    probe = Severity(dict.fromkeys(telling, 1.0))
+    probe, halves = Severity(dict.fromkeys(telling, 1.0)), [Severity(dict.fromkeys([r.f for r in found if r[t]], 1.0)) for t in ("t1", "t2")]
 
     def selected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([probe.present(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["y", "fs"])
+            y, h, texts = (c.to_pylist() for c in b.columns)
+            uses = [halves[1 - k].uses(t) if label else 0 for label, k, t in zip(y, h, texts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(uses, pa.int64()), pa.array([probe.present(t) for t in texts], pa.list_(pa.int32()))], names=["y", "uses", "fs"])
 
-    got = rows.mapInArrow(selected, "y int, fs array<int>").collect()
-    got.sort(key=lambda r: (r.y > 0, len(r.fs), r.fs))
+    got = rows.mapInArrow(selected, "y int, uses long, fs array<int>").collect()
+    got.sort(key=lambda r: (r.y, r.uses, r.fs))
     position = {f: k for k, f in enumerate(telling)}
-    grades = np.array([0 if r.y <= 0 else 1 + (GRADES - 1) * (k - (len(got) - toxic)) // toxic for k, r in enumerate(got)])
+    grades = np.array([0 if not r.y else 1 + (GRADES - 1) * (k - (len(got) - toxic)) // toxic for k, r in enumerate(got)])
     w, t = _fit([np.array([position[f] for f in r.fs]) for r in got], grades, len(telling))
     return Severity({f: float(w[k]) for f, k in position.items()}, [float(x) for x in t])
 
