@@ -231,8 +231,8 @@ def mixed_documents(docs: DataFrame, shards: int | None = None, id_col: str = "d
     spark = docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     mixture, _ = mix(docs, n, id_col=id_col, text_col=text_col, source_col=source_col)
-    # Equal rows are drawn together: each row of docs meets its draws once.
+    # Equal rows are drawn together: each row of docs meets its draws once. A row travels whole, so that no name clashes.
     drawn = mixture.select(F.col("doc_id").alias("m_id"), F.col("key").alias("m_key"), "shard", "place").distinct()
-    keyed = docs.withColumn("m_own", F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text_col)))
-    out = keyed.join(drawn, F.col(id_col).eqNullSafe(F.col("m_id")) & (F.col("m_own") == F.col("m_key")))
-    return out.repartition(n, "shard").sortWithinPartitions("shard", "place").select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text_col)).alias("own"))
+    out = keyed.join(drawn, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("own") == F.col("m_key")))
+    return out.repartitionById(n, F.col("shard").cast("int")).sortWithinPartitions("shard", "place").select("row.*")
