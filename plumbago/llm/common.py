@@ -82,9 +82,9 @@ class Recent(dict):
         if self.held > self.half:
             self.old, self.held = dict(self), 0
             self.clear()
-        new = keys.difference(self)
+        new = {k for k in keys if k not in self}  # set operations would walk the whole table
         if self.old and new:
-            known = new.intersection(self.old)
+            known = {k for k in new if k in self.old}
             for k in known:
                 v = self.old[k]
                 self.add(k, v, len(k) + len(v))

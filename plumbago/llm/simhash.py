@@ -155,11 +155,18 @@ def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
+_NO_LINKS = np.zeros((0, 2), np.uint64)
+
+
 def tree(prints: np.ndarray, bits: int = BITS, names: np.ndarray | None = None) -> np.ndarray:
     """(n, 2): links of a spanning forest of fingerprints at most `bits` apart, searched from the least name on.
 
     prints: (n, words) of 64 bits each; names: what to call them, else by their first word.
     """
+    if len(prints) <= 32:  # most groups are small, and most of them have nothing close
+        near = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2) <= bits
+        if np.count_nonzero(near) == len(prints):
+            return _NO_LINKS
     name = (prints[:, 0] if names is None else names).view(np.uint64)
     order = np.argsort(name, kind="stable")
     left, name = prints.view(np.uint64)[order], name[order]
@@ -450,8 +457,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
         """The rows with a neighbour, under a hash of their set: what meets under many keys is compared once."""
         sets = {}
         for _, _, fp in groups:
-            met = np.unique(tree(fp, NEAR))
-            if len(met):
+            links = tree(fp, NEAR)
+            if len(links):
+                met = np.unique(links)
                 sets[xxhash.xxh3_64_intdigest(met.tobytes())] = met
         if sets:
             name = np.repeat(np.array(list(sets), np.uint64), [len(x) for x in sets.values()])
