@@ -54,8 +54,6 @@ def evaluate(e: object, column) -> tuple[Column, Column | None]:
     error = first_error(*errors)
     if e.name in ("+", "-", "*", "/", "%"):
         value, own = _arithmetic(e.name, *values)
-        if isinstance(e.args[0], Lit) and isinstance(e.args[1], Lit):
-            own = own  # constants raise on each row like anything else
         return value, first_error(error, own)
     a, b = values[0], values[-1]
     value = {

@@ -97,3 +97,65 @@ def idempotent(events: DataFrame, key: list[str], hashed: list[str], arrival: st
 def interleaved(events: DataFrame, tenant: str = "tenant_id", order: str = "event_id") -> DataFrame:
     """events with turn, their place in their tenant's queue; sorted by (turn, tenant) tenants take turns."""
     return events.withColumn("turn", F.row_number().over(Window.partitionBy(tenant).orderBy(order)).cast("long"))
+
+
+KEYS_A_PARTITION, EVENTS_A_SECOND, BYTES_A_SECOND = 512, 10_000, 64 << 20
+
+
+def new_keys(events: DataFrame, known: DataFrame, attributes: str = "attributes", most: int = KEYS_A_PARTITION, order: str = "event_id") -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected with reason KeyCardinality): a tenant may use `most` attribute keys, known ones (tenant_id, key) first.
+
+    New keys are numbered by their first event; an event with a key beyond the limit is rejected. Only distinct keys are
+    ordered, not events.
+    """
+    used = events.select("tenant_id", F.explode(F.map_keys(attributes)).alias("key"), F.col(order).alias("o")).groupBy("tenant_id", "key").agg(F.min("o").alias("o"))
+    fresh = used.join(known.select("tenant_id", "key"), ["tenant_id", "key"], "left_anti")
+    before = known.groupBy("tenant_id").agg(F.countDistinct("key").alias("had"))
+    place = F.row_number().over(Window.partitionBy("tenant_id").orderBy("o", "key"))
+    over = fresh.withColumn("place", place).join(before, "tenant_id", "left").where(F.col("place") + F.coalesce("had", F.lit(0)) > most)
+    beyond = over.groupBy("tenant_id").agg(F.min("o").alias("__from"), F.collect_set("key").alias("__keys"))
+    judged = events.join(beyond, "tenant_id", "left")
+    bad = F.coalesce((F.col(order) >= F.col("__from")) & F.arrays_overlap(F.map_keys(attributes), "__keys"), F.lit(False))
+    judged = judged.withColumn("reason", F.when(bad, "KeyCardinality")).drop("__from", "__keys")
+    return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
+
+
+def within_quota(events: DataFrame, size: Column, per_second: int = EVENTS_A_SECOND, bytes_per_second: int = BYTES_A_SECOND, order: str = "event_id") -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected with reason QuotaEvents or QuotaBytes): by tenant and second of observed_time, in order; nothing is queued."""
+    w = Window.partitionBy("tenant_id", F.floor(F.col("observed_time") / 1000)).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = events.withColumns({"__n": F.count("*").over(w), "__bytes": F.sum(size).over(w)})
+    reason = F.when(F.col("__n") > per_second, "QuotaEvents").when(F.col("__bytes") > bytes_per_second, "QuotaBytes")
+    judged = counted.withColumn("reason", reason).drop("__n", "__bytes")
+    return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
+
+
+def gauntlet(events: DataFrame, known: DataFrame | None = None, size: Column | None = None, per_second: int = EVENTS_A_SECOND, bytes_per_second: int = BYTES_A_SECOND) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected with reason and stage): schema and skew, then attribute keys, then quotas; each stage sees what the last accepted."""
+    accepted, rejected = admit(events)
+    out = [rejected.withColumn("stage", F.when(F.col("reason").like("Too%"), "skew").otherwise("schema"))]
+    if known is not None:
+        accepted, rejected = new_keys(accepted, known)
+        out.append(rejected.withColumn("stage", F.lit("keys")))
+    if size is not None:
+        accepted, rejected = within_quota(accepted, size, per_second, bytes_per_second)
+        out.append(rejected.withColumn("stage", F.lit("quota")))
+    dead = out[0]
+    for x in out[1:]:
+        dead = dead.unionByName(x)
+    return accepted, dead
+
+
+def merged_parts(parts: DataFrame, tombstones: DataFrame, key: str = "event_id", time: str = "event_time") -> DataFrame:
+    """A full merge: tombstones are applied, then one version of each event is kept."""
+    return latest(without(parts, tombstones, key), key, time)
+
+
+def partition_of(tenant: Column, event_time: Column, buckets: int = 16) -> tuple[Column, Column]:
+    """(tenant_bucket, day): what events are partitioned by, so that a tenant's query reads one bucket."""
+    digest = F.conv(F.substring(F.sha2(tenant.cast("string"), 256), 1, 8), 16, 10).cast("long")
+    return (digest % buckets).cast("int"), day_window(event_time)
+
+
+def routed(events: DataFrame, shards: int, tenant: str = "tenant_id") -> DataFrame:
+    """events with shard, that of their tenant's bucket."""
+    return events.withColumn("shard", partition_of(F.col(tenant), F.lit(0))[0] % shards)

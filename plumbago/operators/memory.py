@@ -140,3 +140,184 @@ def retrieved(entries: DataFrame, terms: list[str], text: str = "text", similari
     if stale is not None:
         score = F.when(stale, score * 0.25).otherwise(score)
     return entries.withColumn("score", score)
+
+
+# Typed merges beside counters.
+
+#: How much a claim's method counts, least first.
+METHODS = ("inferred", "stated", "observed", "verified")
+POLICIES = ("typed", "take_source", "take_target", "conflict")
+
+
+def _three_ways(base: DataFrame, source: DataFrame, target: DataFrame, key: str, value: str) -> DataFrame:
+    """k, b, s, t and how the sides moved: "equal", "target", "source", "gone" (the target dropped what the source moved) or "both"."""
+    b, s, t = (x.select(F.col(key).alias("k"), F.col(value).alias(n), F.lit(True).alias(f"has_{n}")) for x, n in ((base, "b"), (source, "s"), (target, "t")))
+    rows = b.join(s, "k", "full_outer").join(t, "k", "full_outer").fillna(False, ["has_b", "has_s", "has_t"])
+
+    def same(x: str, y: str) -> Column:
+        return (F.col(f"has_{x}") == F.col(f"has_{y}")) & F.col(x).eqNullSafe(F.col(y))
+
+    how = F.when(same("s", "t"), "equal").when(same("b", "s") | ~F.col("has_s"), "target").when(same("b", "t"), "source").when(~F.col("has_t"), "gone").otherwise("both")
+    return rows.withColumn("how", how)
+
+
+def _resolved(rows: DataFrame, key: str, value: str, both: Column, conflict: Column, policy: str) -> DataFrame:
+    if policy not in POLICIES:
+        raise Refused("UnknownPolicy", policy)
+    if policy != "typed":
+        both, conflict = {"take_source": (F.col("s"), F.lit(False)), "take_target": (F.col("t"), F.lit(False)), "conflict": (F.col("t"), F.lit(True))}[policy]
+    merged = F.when(F.col("how") == "source", F.col("s")).when(F.col("how") == "both", both).otherwise(F.col("t"))
+    clash = (F.col("how") == "gone") | ((F.col("how") == "both") & conflict)
+    out = rows.select(F.col("k").alias(key), merged.alias(value), F.when(clash, "conflict").otherwise(F.col("how")).alias("how"), (F.col("has_t") | clash | F.col("how").isin("source", "both")).alias("__there"))
+    return out.where("__there").drop("__there")
+
+
+def merge_sets(base: DataFrame, source: DataFrame, target: DataFrame, key: str, value: str, policy: str = "typed") -> DataFrame:
+    """key, value (a sorted array) and how; of two sets that both moved, the union. Deletions in the source don't reach the target."""
+    tidy = lambda x: x.withColumn(value, F.array_sort(F.array_distinct(value)))
+    rows = _three_ways(tidy(base), tidy(source), tidy(target), key, value)
+    return _resolved(rows, key, value, F.array_sort(F.array_union("s", "t")), F.lit(False), policy)
+
+
+def merge_claims(base: DataFrame, source: DataFrame, target: DataFrame, key: str, value: str, policy: str = "typed") -> DataFrame:
+    """key, value and how; value is a struct with start, end, method and confidence.
+
+    Of two claims that moved: the one that starts later if their intervals (half
+    open, null bounds unbound) do not overlap; else the one of the higher method,
+    then confidence in millionths; equal ones are a conflict, and the target's stays.
+    """
+    rows = _three_ways(base, source, target, key, value)
+    low = lambda x: F.coalesce(F.col(f"{x}.start"), F.lit(-(1 << 63)))
+    high = lambda x: F.coalesce(F.col(f"{x}.end"), F.lit((1 << 63) - 1))
+    rank = lambda x: F.struct(F.coalesce(F.array_position(F.lit(list(METHODS)), F.col(f"{x}.method")), F.lit(0)).alias("m"), F.floor(F.coalesce(F.col(f"{x}.confidence"), F.lit(0.0)) * 1_000_000).alias("c"))
+    overlap = (low("s") < high("t")) & (low("t") < high("s"))
+    both = F.when(~overlap, F.when(low("s") > low("t"), F.col("s")).otherwise(F.col("t"))).when(rank("s") > rank("t"), F.col("s")).otherwise(F.col("t"))
+    return _resolved(rows, key, value, both, overlap & (rank("s") == rank("t")), policy)
+
+
+def merge_custom(base: DataFrame, source: DataFrame, target: DataFrame, key: str, value: str, merge) -> DataFrame:
+    """As the others, with merge(b, s, t), a function of Columns, where both sides moved."""
+    rows = _three_ways(base, source, target, key, value)
+    return _resolved(rows, key, value, merge(F.col("b"), F.col("s"), F.col("t")), F.lit(False), "typed")
+
+
+def divergence(rows: DataFrame, fork_epoch: int, merged: DataFrame, key: str) -> DataFrame:
+    """Rows of a branch since its fork whose key has not been merged already."""
+    return rows.where(F.col("epoch") > fork_epoch).join(merged.select(key).distinct(), key, "left_anti")
+
+
+def page_diff(base: DataFrame, source: DataFrame, target: DataFrame, key: str, content: str) -> DataFrame:
+    """key and side ("source", "target", "both", "same" where both made the same change) of pages that changed."""
+    rows = _three_ways(base, source, target, key, content)
+    moved = lambda x: ~((F.col("has_b") == F.col(f"has_{x}")) & F.col("b").eqNullSafe(F.col(x)))
+    side = F.when(moved("s") & moved("t"), F.when(F.col("how") == "equal", "same").otherwise("both")).when(moved("s"), "source").when(moved("t"), "target")
+    return rows.select(F.col("k").alias(key), side.alias("side")).where("side is not null")
+
+
+def lineage(log: DataFrame) -> DataFrame:
+    """child, parent, at_epoch and active from a log (child, parent, at_epoch, kind, seq) of forks and rewinds.
+
+    A second fork of one child is refused; the last rewind wins and makes a branch inactive.
+    """
+    forks = log.where("kind = 'fork'").groupBy("child").agg(F.count("*").alias("n"), F.first("parent").alias("parent"), F.first("at_epoch").alias("at_epoch"))
+    forks = forks.where(F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("SecondFork: "), "child")).cast("boolean")).otherwise(True))
+    rewinds = log.where("kind = 'rewind'").groupBy("child").agg(F.max_by("at_epoch", "seq").alias("rewound_to"))
+    return forks.join(rewinds, "child", "left").select("child", "parent", "at_epoch", "rewound_to", F.col("rewound_to").isNull().alias("active"))
+
+
+# Taint and what follows from it.
+
+
+def mark_stale(claims: DataFrame, contaminated: DataFrame, node: str = "node") -> DataFrame:
+    """claims with status Stale where an Asserted one derives from what is contaminated; observations are untouched."""
+    hit = contaminated.select(F.col("node").alias("__hit")).distinct()
+    rows = claims.join(hit, claims[node] == F.col("__hit"), "left")
+    stale = F.col("__hit").isNotNull() & (F.col("kind") == "claim") & (F.col("status") == "Asserted")
+    return rows.withColumn("status", F.when(stale, "Stale").otherwise(F.col("status"))).drop("__hit")
+
+
+def forget(entries: DataFrame, claims: DataFrame, contaminated: DataFrame, node: str = "node") -> tuple[DataFrame, DataFrame]:
+    """(entries left in the index, claims with the contaminated ones Invalidated)."""
+    hit = contaminated.select(F.col("node").alias("__hit")).distinct()
+    left = entries.join(hit, entries[node] == F.col("__hit"), "left_anti")
+    rows = claims.join(hit, claims[node] == F.col("__hit"), "left")
+    return left, rows.withColumn("status", F.when(F.col("__hit").isNotNull(), "Invalidated").otherwise(F.col("status"))).drop("__hit")
+
+
+def recall_report(contaminated: DataFrame, actions: DataFrame, writes: DataFrame, journal: DataFrame | None = None) -> DataFrame:
+    """section, node and depth of what a taint reached: irreversible actions first, then writes that can be healed.
+
+    actions and writes have node (and reversible); journal holds rows of an earlier, interrupted report.
+    """
+    acted = actions.where("not reversible").select("node").distinct().join(contaminated, "node").select(F.lit("1-irreversible").alias("section"), "node", "depth")
+    healed = writes.select("node").distinct().join(contaminated, "node").select(F.lit("2-healed").alias("section"), "node", "depth")
+    both = acted.unionByName(healed)
+    return (both if journal is None else both.unionByName(journal)).groupBy("section", "node").agg(F.min("depth").alias("depth"))
+
+
+def taint_and_heal(standing, seeds: DataFrame, edges: DataFrame, table: str, key: str, source: str) -> DataFrame:
+    """Resolve what derives from the seeds, take it out of a standing table, and return the report; a second call changes nothing.
+
+    The payload goes in one epoch, so answers move once; edges are kept by the caller until the report is read.
+    """
+    reached = tainted(seeds, edges)
+    rows = standing.integral(table)
+    gone = rows.join(reached.select(F.col("node").alias(key)), key, "left_semi")
+    report = written(gone.select(F.col(key).alias("node")).distinct().join(reached, "node"), "taint-report")
+    standing.append(source, table, gone.withColumn("__w", -F.col("__w")))
+    standing.seal()
+    return report.select(F.lit("2-healed").alias("section"), "node", "depth")
+
+
+# Trust, eligibility, influence, budgets.
+
+#: Classes of trust, the most trusted first.
+TRUST = ("VerifiedSystem", "Human", "ThirdParty", "Untrusted")
+
+
+def combined_label(labels: Column) -> Column:
+    """The least trusted class of an array of labels; null for none."""
+    ranks = F.transform(labels, lambda x: F.array_position(F.lit(list(TRUST)), x))
+    return F.get(F.lit(list(TRUST)), (F.array_max(ranks) - 1).cast("int"))
+
+
+def eligible(status: Column, evidence: Column) -> Column:
+    """Whether a claim may be acted on: asserted, with evidence."""
+    return F.coalesce((status == "Asserted") & (F.size(evidence) > 0), F.lit(False))
+
+
+def gateway(requests: DataFrame, done: DataFrame, rules: list[Rule], killed: bool = False) -> DataFrame:
+    """requests (key, actor, action, resource, status, evidence, simulated) with outcome, the first gate that stops them.
+
+    Keys in done are replays; then come the kill switch, evidence, policy and simulation. "Proposed" goes on to a connector.
+    """
+    known = done.select(F.col("key").alias("__done")).distinct()
+    rows = decided(requests.join(known, requests["key"] == F.col("__done"), "left"), rules)
+    outcome = F.when(F.col("__done").isNotNull(), "Replay").when(F.lit(killed), "Killed").when(~eligible(F.col("status"), F.col("evidence")), "NotEligible").when(F.col("decision") == "Deny", "Denied").when(~F.coalesce(F.col("simulated"), F.lit(False)), "SimulationFailed").otherwise("Proposed")
+    return rows.withColumn("outcome", outcome).drop("__done", "decision")
+
+
+def influence(entries: DataFrame, blocked: list[str], label: str = "label") -> DataFrame:
+    """Entries whose label may influence an answer, chosen before they are scored; entries without a label don't."""
+    return entries.where(F.col(label).isNotNull() & ~F.col(label).isin(blocked))
+
+
+def tokens(text: Column) -> Column:
+    """Estimated tokens of a text: a quarter of its bytes, rounded up, at least one."""
+    return F.greatest(F.ceil(F.octet_length(F.coalesce(text, F.lit(""))) / 4), F.lit(1)).cast("long")
+
+
+def packed(entries: DataFrame, budget: int, key: str = "key", cost: str = "cost", most: int = 100_000) -> DataFrame:
+    """The entries taken into a budget in the order (score falling, key): each that still fits, going on after one that doesn't.
+
+    Every entry costs one at least, so no more than `budget` can be taken, and only entries up to the budget's size
+    matter; more than `most` of these in one answer are refused, so that one row holds them.
+    """
+    ok = entries.where((F.col(cost) <= budget) & (F.col(cost) > 0))
+    if ok.limit(most + 1).count() > most:
+        raise Refused("TooManyEntries", str(most))
+    one = ok.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), F.col(key).alias("k"), F.col(cost).cast("long").alias("c")))).alias("all"))
+    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast(f"array<{dict(entries.dtypes)[key]}>").alias("keys"))
+    fit = lambda a, e: F.when(e["c"] <= a["left"], F.struct((a["left"] - e["c"]).alias("left"), F.concat(a["keys"], F.array(e["k"])).alias("keys"))).otherwise(a)
+    taken = one.select(F.posexplode(F.aggregate("all", start, fit)["keys"]).alias("place", "__taken"))
+    return entries.join(taken, entries[key] == F.col("__taken")).drop("__taken")

@@ -72,10 +72,30 @@ def fused(rankings: list[DataFrame], k: int, key: str = "vec_id") -> DataFrame:
     return union.groupBy(key).agg(F.sum("share").alias("score")).orderBy(F.desc("score"), F.asc(key)).limit(k)
 
 
+def l2_sq(vector: Column, fixed: list[float]) -> Column:
+    pairs = F.zip_with(vector.cast("array<double>"), F.lit([float(x) for x in fixed]), lambda a, b: (a - b) * (a - b))
+    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
+
+
+def cosine_of_l2(distance: Column) -> Column:
+    """Cosine of two unit vectors from their squared distance."""
+    return 1 - distance / 2
+
+
 def _cosines(vector: str, centres: list[list[float]]) -> Column:
+    """Cosines with all centres; the row's norm is computed once, the centres are one literal."""
     if not 0 < len(centres) <= MOST_CENTRES:
         raise Refused("TooManyCentres", str(len(centres)))
-    return F.array(*[cosine(F.col(vector), c) for c in centres])
+    every = F.lit([x for c in centres for x in unit(c)]).cast("array<double>")
+    dim = len(centres[0])
+    v = F.col(vector).cast("array<double>")
+
+    def each(b: Column) -> Column:
+        pairs = lambda k: F.zip_with(b["v"], F.slice(b["every"], k * dim + 1, F.lit(dim)), lambda x, y: x * y)
+        dots = F.transform(F.sequence(F.lit(0), F.lit(len(centres) - 1)), lambda k: F.aggregate(pairs(k), F.lit(0.0), lambda s, x: s + x) / b["n"])
+        return F.when((F.size(b["v"]) == dim) & (b["n"] >= LEAST_NORM) & (b["n"] < F.lit(math.inf)), dots)
+
+    return F.transform(F.array(F.struct(v.alias("v"), norm(F.col(vector)).alias("n"), every.alias("every"))), each)[0]
 
 
 def novelty(rows: DataFrame, centres: list[list[float]], vector: str = "embedding") -> DataFrame:

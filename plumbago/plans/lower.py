@@ -44,6 +44,8 @@ class Lowering:
         self.scans = query.scans()
         self.place = {(s.alias, f.name): f"c{i}_{j}" for i, s in enumerate(self.scans) for j, f in enumerate(catalog.tables[s.table])}
         self.errors: list[DataFrame] = []
+        #: What an error counts where it is met: nothing in rows that stood before, less than nothing in groups that go.
+        self.sign = 1
 
     def column(self, c: Col) -> Column:
         return F.col(self.place[c.table, c.name])
@@ -53,7 +55,9 @@ class Lowering:
         if error is None:
             return rows
         if self.collect:
-            self.errors.append(rows.select(error.alias("error")).where("error is not null"))
+            if self.sign:
+                weight = (F.col(WEIGHT) if WEIGHT in rows.columns else F.lit(1)).cast("long") * F.lit(self.sign)
+                self.errors.append(rows.select(error.alias("error"), weight.alias(WEIGHT)).where("error is not null"))
             return rows.where(error.isNull())
         return rows.where(F.when(error.isNotNull(), F.raise_error(error).cast("boolean")).otherwise(True))
 
@@ -83,6 +87,10 @@ class Lowering:
             return self.scan(s, tables)
         return self.join(self.source(s.left, tables), self.scan(s.right, tables), s.on)
 
+    def error_table(self) -> DataFrame | None:
+        """(error, __w) of all that was met so far; None if the query can't raise."""
+        return consolidated(reduce(DataFrame.unionByName, self.errors)) if self.errors else None
+
     def source_change(self, s: object, before: Tables, change: Tables) -> DataFrame | None:
         """What a change of tables does to a source: a product rule with the tables as they were before."""
         if isinstance(s, Scan):
@@ -198,18 +206,25 @@ class Lowering:
         delta = self.source_change(self.query.source, before, change)
         if delta is None:
             return None
-        rows, old = self.filtered(delta), self.filtered(self.source(self.query.source, before))
+        rows = self.filtered(delta)
         if not self.grouped() and not self.query.distinct:
             return self.named(consolidated(self.projected(rows)))
         make = self.keyed if self.grouped() else self.projected
+        self.sign = 0
+        old = self.filtered(self.source(self.query.source, before))
         keys = [f"k{n}" for n in range(len(self.query.keys))] if self.grouped() else [f"o{n}" for n in range(len(self.query.select))]
-        delta, old = make(rows), make(old)
+        old = make(old)
+        self.sign = 1
+        delta = make(rows)
         if keys:
             touched = delta.select(*[F.col(k).alias(f"t_{k}") for k in keys]).distinct()
             old = old.join(touched, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"t_{k}")) for k in keys]), "left_semi")
         new = consolidated(old.unionByName(delta))
         if self.grouped():
-            gone, come = self.groups(old), self.groups(new)
+            come = self.groups(new)
+            self.sign = -1
+            gone = self.groups(old)
+            self.sign = 1
         else:
             gone, come = (x.select(*keys).distinct().withColumn(WEIGHT, F.lit(1).cast("long")) for x in (old, new))
         return self.named(consolidated(come.unionByName(negated(gone))))

@@ -51,6 +51,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop)
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if it is not there."""
+    fs, hadoop = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     try:
         fs, hadoop = _file_system(spark, path)

@@ -101,3 +101,70 @@ def test_refusals(text, code):
     with pytest.raises(Refused) as e:
         parse(text, catalog())
     assert e.value.code == code
+
+
+def test_failed_seal_loses_nothing(spark, monkeypatch):
+    s = Standing(spark, catalog())
+    s.register("q", "SELECT k AS k, v AS v FROM t")
+    rows = frame(spark, [(1, 2, 1)])
+    s.append("a", "t", rows, token="one")
+    s.append("a", "t", frame(spark, [(8, 8, -1)]))
+    with pytest.raises(Refused, match="NegativeIntegral"):
+        s.seal()
+    assert s.append("a", "t", rows, token="one")
+    with monkeypatch.context() as m:
+        m.setattr(Standing, "_commit", lambda *_, **__: (_ for _ in ()).throw(OSError("killed")))
+        with pytest.raises(OSError):
+            s.seal()
+    assert s.epoch == 0 and content(s.read("q")) == []
+    assert s.append("a", "t", rows, token="one") and s.seal() == 1
+    assert content(s.read("q")) == [(1, 2, 1)] and not s.append("a", "t", rows, token="one")
+
+
+def test_reopens_from_its_folder(spark, tmp_path):
+    s = Standing(spark, catalog(), str(tmp_path / "state"))
+    s.register("q", "SELECT k AS k, 10 / v AS x FROM t")
+    s.append("a", "t", frame(spark, [(1, 2, 1), (2, 0, 1)]), token="one")
+    s.seal()
+    again = Standing.open(spark, str(tmp_path / "state"))
+    with pytest.raises(LiveError, match="DivisionByZero"):
+        again.read("q")
+    assert not again.append("a", "t", frame(spark, [(1, 2, 1), (2, 0, 1)]), token="one")
+    again.append("b", "t", frame(spark, [(2, 0, -1), (3, 5, 2)]))
+    again.seal()
+    again.compact()
+    third = Standing.open(spark, str(tmp_path / "state"))
+    assert content(third.read("q")) == [(1, 5, 1), (3, 2, 2)] and third.epoch == 2
+    assert content(third.integral("t")) == [(1, 2, 1), (3, 5, 2)]
+    third.retract_source("b", "t", "v = 5")
+    assert content(third.read("q")) == [(1, 5, 1)] and content(third.changes("q", 2).drop("__epoch")) == [(3, 2, -2)]
+    with pytest.raises(Refused, match="SubscriptionGap"):
+        third.epochs("t", 0)
+    assert {(r.kind, r.name) for r in third.state().collect()} == {("table", "t"), ("table", "u"), ("answer", "q"), ("errors", "q")}
+
+
+def test_equal_queries_are_kept_once(spark):
+    s = Standing(spark, catalog())
+    s.register("a", "SELECT t.v AS v FROM t JOIN u ON t.k = u.k")
+    s.register("b", "SELECT t.v AS v FROM t JOIN u ON u.k = t.k")
+    assert len(s.queries) == 1
+    s.deregister("a")
+    s.append("x", "t", frame(spark, [(1, 1, 1)]))
+    s.append("x", "u", frame(spark, [(1, "n", 1)], "k long, name string"))
+    s.seal()
+    assert content(s.canonical("b")) == [(1, 1)]
+    with pytest.raises(Refused, match="UnknownHandle"):
+        s.read("a")
+
+
+def test_errors_of_groups_come_and_go(spark):
+    s = Standing(spark, catalog())
+    s.register("q", "SELECT k AS k, SUM(v) AS s FROM t GROUP BY k")
+    big = (1 << 63) - 1
+    s.append("a", "t", frame(spark, [(1, big, 1), (1, 1, 1), (2, 3, 1)]))
+    s.seal()
+    with pytest.raises(LiveError, match="AggregateOverflow"):
+        s.read("q")
+    s.append("a", "t", frame(spark, [(1, 1, -1)]))
+    s.seal()
+    assert content(s.read("q")) == [(1, big, 1), (2, 3, 1)]
