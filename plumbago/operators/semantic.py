@@ -301,18 +301,18 @@ def search(ix: Index, query: list[float], k: int = 10, nprobe: int = 11, candida
 
     budget: bytes of exact vectors that may be fetched.
     """
-    q = np.array(vectors.unit(query))
-    chosen = probes(ix.centres, q, nprobe)
-    parts, _, width = ix.codebooks.shape
-    tables = {c: np.stack([((ix.codebooks[p] - (q - ix.centres[c])[p * width : (p + 1) * width]) ** 2).sum(1) for p in range(parts)]) for c in chosen}
+    q, key, centres, books = np.array(vectors.unit(query)), ix.key, ix.centres, ix.codebooks
+    chosen = probes(centres, q, nprobe)
+    parts, _, width = books.shape
+    tables = {c: np.stack([((books[p] - (q - centres[c])[p * width : (p + 1) * width]) ** 2).sum(1) for p in range(parts)]) for c in chosen}
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             codes = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, parts)
             d = np.array([tables[c][np.arange(parts), x].sum() for c, x in zip(b.column(2).to_pylist(), codes)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d, pa.float64())], names=[ix.key, "far"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d, pa.float64())], names=[key, "far"])
 
-    kind = dict(ix.rows.dtypes)[ix.key]
+    kind = dict(ix.rows.dtypes)[key]
     probed = ix.rows.where(F.col("cluster").isin(chosen))
     fetched = candidates if budget is None else min(candidates, budget // (4 * len(q)))
     best = probed.select(ix.key, "code", "cluster").mapInArrow(far, f"{ix.key} {kind}, far double").orderBy("far", ix.key).limit(fetched)

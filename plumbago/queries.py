@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from plumbago.engine import Engine
 from plumbago.operators import events as ev
-from plumbago.operators import memory, vectors
+from plumbago.operators import memory, semantic, vectors
+from plumbago.plans import event_sql
 from plumbago.plans.ir import BIGINT, TEXT, Catalog, Field
 from plumbago.plans.lower import WEIGHT
+from plumbago.sources import external
 from plumbago.sources.tables import load
 from plumbago.streaming.standing import Standing
 
@@ -318,3 +320,346 @@ def policy_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieval_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return memory.retrieved(docs, ["the", "EAU", "license"], stale=F.coalesce(F.col("lang") == "fr", F.lit(False))).select("doc_id", "score")
+
+
+# Standing state: errors that go with their data, snapshots, shared plans.
+
+_QUOTIENTS = "SELECT o_orderkey AS k, 1000 / (o_custkey - 7) AS q FROM orders"
+
+
+def _quotients(spark: SparkSession, sf_dir: str) -> Standing:
+    catalog = Catalog()
+    catalog.declare("orders", _ORDERS)
+    s = Standing(spark, catalog)
+    s.register("q", _QUOTIENTS)
+    s.append("a", "orders", load(spark, sf_dir, "orders"), token="one")
+    s.seal()
+    return s
+
+
+@registered("SELECT CASE WHEN COUNT(*) > 0 THEN 'DivisionByZero: /' END AS error FROM orders WHERE o_custkey = 7")
+def live_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(_quotients(spark, sf_dir).error("q"),)], "error string")
+
+
+@registered("SELECT o_orderkey AS k, 1000 // (o_custkey - 7) AS q FROM orders WHERE o_custkey <> 7")
+def live_error_retracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _quotients(spark, sf_dir)
+    s.retract_source("a", "orders", "o_custkey = 7")
+    return s.read("q").drop(WEIGHT)
+
+
+@registered("SELECT o_orderkey, o_custkey, o_orderstatus, 1::BIGINT AS weight FROM orders WHERE o_orderstatus <> 'F'")
+def snapshot_equals_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder is compacted, opened again and hydrated."""
+    s = _epochs(spark, sf_dir, _BY_NATION)
+    s.compact()
+    return Standing.open(spark, s.path).hydrated()["orders"].withColumnRenamed(WEIGHT, "weight")
+
+
+@registered("SELECT o_orderkey, o_custkey, o_orderstatus, CASE o_orderstatus WHEN 'F' THEN -1 ELSE 1 END::BIGINT AS weight FROM orders WHERE o_orderstatus IN ('P', 'F')")
+def log_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the second epoch brought."""
+    return _epochs(spark, sf_dir, _BY_NATION).epochs("orders", 1).drop("__epoch", "__source").withColumnRenamed(WEIGHT, "weight")
+
+
+for _name, (_tables, _text, _sql) in {
+    "typed_null": ("orders", "SELECT o_orderkey AS k, CASE WHEN o_custkey > 100 THEN o_orderkey ELSE CAST(NULL AS BIGINT) END AS v, CAST(NULL AS TEXT) AS t FROM orders", "SELECT o_orderkey AS k, CASE WHEN o_custkey > 100 THEN o_orderkey END AS v, NULL::VARCHAR AS t FROM orders"),
+    "kleene_logic": ("orders", "SELECT o_orderkey AS k, CASE WHEN o_custkey > 100 THEN o_custkey END > 500 OR o_orderkey > 50 AS a, CASE WHEN o_custkey > 100 THEN o_custkey END > 500 AND o_orderkey > 50 AS b FROM orders", None),
+}.items():
+    QUERIES[_name], ORACLE_SQL[_name] = _in_dialect(_tables, _text), _sql or _text
+
+
+# Event SQL.
+
+
+def _event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    props = load(spark, sf_dir, "events").select("event_id", F.call_function("parse_json", F.col("props")).alias("attributes"))
+    return _events(spark, sf_dir).join(props, "event_id")
+
+
+def _event_sql(text: str, sql: str, name: str, **how) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return event_sql.run(_event_table(spark, sf_dir) if "attributes" in text else _events(spark, sf_dir), text, **how)
+
+    QUERIES[name], ORACLE_SQL[name] = run, sql
+
+
+_K = "TRY_CAST(props ->> 'k' AS DOUBLE)"
+_FULL = _EVENTS_SQL.replace(" FROM events", ", props FROM events")
+_event_sql("SELECT event_id, cost FROM events WHERE error AND cost >= 10 AND event_time >= 1704153600000 ORDER BY score DESC, event_id ASC LIMIT 20", f"SELECT event_id, cost FROM ({_EVENTS_SQL}) WHERE error AND cost >= 10 AND event_time >= 1704153600000 ORDER BY event_id LIMIT 20", "event_sql_page")
+_event_sql("SELECT event_name, count(*) AS n, min(event_time) AS first, max(cost) AS most FROM events WHERE NOT error OR cost < 5 GROUP BY event_name", f"SELECT event_name, COUNT(*) AS n, MIN(event_time) AS first, MAX(cost) AS most FROM ({_EVENTS_SQL}) WHERE NOT error OR cost < 5 GROUP BY ALL", "event_sql_group")
+_event_sql("SELECT event_id, event_name FROM events WHERE event_name IN ('signup', 'error', NULL) AND NOT tenant_id IN (1, 2) LIMIT 1000", f"SELECT event_id, event_name FROM ({_EVENTS_SQL}) WHERE event_name IN ('signup', 'error') AND tenant_id NOT IN (1, 2) ORDER BY event_id LIMIT 1000", "event_in_list")
+_event_sql("SELECT event_id, attributes['k'] AS k FROM events WHERE attributes['k'] > 90.5 AND NOT attributes['missing'] = 'x' OR attributes['k'] = 3 LIMIT 500", f"SELECT event_id, props ->> 'k' AS k FROM ({_FULL}) WHERE {_K} = 3 ORDER BY event_id LIMIT 500", "event_attribute")
+_event_sql("SELECT count(*) AS n FROM events WHERE cost > 1 AND (attributes['k'] <= 50 OR attributes['k'] = 'fifty' OR event_name > 5)", f"SELECT COUNT(*) AS n FROM ({_FULL}) WHERE cost > 1 AND {_K} <= 50", "event_mixed_compare")
+_event_sql("SELECT event_id FROM events WHERE error LIMIT 7", f"SELECT event_id FROM ({_EVENTS_SQL}) WHERE error AND tenant_id = 3 ORDER BY event_id LIMIT 7", "event_session_tenant", tenant=3)
+
+
+@registered(f"SELECT event_id, cost FROM ({_EVENTS_SQL}) WHERE error ORDER BY event_id LIMIT 5 OFFSET 5")
+def event_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page, by the token of the first's last row."""
+    plan, rows = event_sql.parse("SELECT event_id, cost FROM events WHERE error LIMIT 5"), _events(spark, sf_dir)
+    last = event_sql.run(rows, plan).collect()[-1]
+    return event_sql.run(rows, plan, snapshot=sf_dir, token=event_sql.cursor(plan, sf_dir, 0.0, last.event_id))
+
+
+# Admission.
+
+
+@registered(f"SELECT event_id, CASE WHEN copy = 0 THEN 'first' WHEN error THEN 'IdempotencyConflict' ELSE 'replay' END AS verdict, copy FROM ({_EVENTS_SQL}), (SELECT unnest([0, 1]) AS copy)")
+def idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event comes again; errors come with another cost."""
+    e = _events(spark, sf_dir).withColumn("copy", F.lit(0))
+    again = e.withColumns({"copy": F.lit(1), "cost": F.when(F.col("error"), F.col("cost") + 1).otherwise(F.col("cost"))})
+    return ev.idempotent(e.unionByName(again), ["tenant_id", "event_id"], ["event_time", "event_name", "cost"], "copy").select("event_id", "verdict", "copy")
+
+
+@registered("SELECT doc_id, CASE WHEN doc_id >= 50 THEN text END AS body FROM documents")
+def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), F.col("doc_id").alias("event_time"))
+    return ev.redacted(docs, 50).drop("event_time")
+
+
+_ADMITTED = f"SELECT event_id, tenant_id, event_time, event_time // 86400000 AS second FROM ({_EVENTS_SQL})"
+
+
+@registered(f"SELECT event_id, CASE WHEN r > 5 THEN 'QuotaEvents' ELSE 'QuotaBytes' END AS reason FROM (SELECT event_id, ROW_NUMBER() OVER w AS r FROM ({_ADMITTED}) WINDOW w AS (PARTITION BY tenant_id, second ORDER BY event_id)) WHERE r > 3")
+def quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day counts as a second: five events a tenant, and 300 bytes at 100 each."""
+    e = _events(spark, sf_dir).withColumn("observed_time", F.expr("event_time div 86400000 * 1000"))
+    return ev.within_quota(e, F.lit(100), 5, 300)[1].select("event_id", "reason")
+
+
+@registered(
+    f"""WITH k AS (SELECT tenant_id, props ->> 'k' AS k, min(event_id) AS o FROM ({_FULL}) GROUP BY ALL),
+    o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY tenant_id ORDER BY o, k) AS r FROM k)
+    SELECT event_id, 'KeyCardinality' AS reason FROM ({_FULL}) e JOIN o ON o.tenant_id = e.tenant_id AND o.k = e.props ->> 'k' WHERE r > 20"""
+)
+def key_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value of each event's property stands for an attribute key; a tenant may use twenty."""
+    e = _events(spark, sf_dir).join(load(spark, sf_dir, "events").select("event_id", F.create_map(F.get_json_object("props", "$.k"), F.lit("")).alias("attributes")), "event_id")
+    known = spark.createDataFrame([], "tenant_id bigint, key string")
+    return ev.new_keys(e, known, most=20)[1].select("event_id", "reason")
+
+
+@registered(f"SELECT event_id, 'MissingTenant' AS reason, 'schema' AS stage FROM ({_EVENTS_SQL}) WHERE tenant_id = 1 UNION ALL SELECT event_id, 'TooOld', 'skew' FROM ({_EVENTS_SQL}) WHERE tenant_id = 2")
+def gauntlet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir).withColumn("observed_time", F.col("event_time") + F.when(F.col("tenant_id") == 2, 8 * ev.DAY).otherwise(0))
+    return ev.gauntlet(e.withColumn("tenant_id", F.when(F.col("tenant_id") != 1, F.col("tenant_id"))), size=F.lit(1))[1].select("event_id", "reason", "stage")
+
+
+# Semantic operators.
+
+
+@registered("SELECT vec_id, ROUND(list_sum(list_transform(list_zip(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 0)), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 6) AS d FROM embeddings")
+def l2_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.l2_sq(F.col("embedding"), _vector(spark, sf_dir, 0)), 6).alias("d"))
+
+
+@registered()
+def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents nearest to a text, by hash embeddings."""
+    docs = semantic.with_embedding(load(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return vectors.top_k(docs, semantic.embed("the quiet river and the old house"), 10, "doc_id").select("doc_id", "score")
+
+
+@registered()
+def semantic_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event SQL with a similarity, documents standing for events."""
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.col("source").alias("event_name"), F.col("text").alias("body"), F.col("n_chars").alias("event_time"))
+    rows = semantic.with_embedding(docs)
+    return event_sql.run(rows, "SELECT event_id, event_name, score FROM events WHERE event_time > 500 AND embedding ≈≈ 'an old house by the river' LIMIT 5", embed=semantic.embed)
+
+
+@registered()
+def semantic_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic.clusters(load(spark, sf_dir, "embeddings"), 8)
+
+
+@registered()
+def semantic_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors that those of labels 0 to 4 do not reach."""
+    e = load(spark, sf_dir, "embeddings")
+    return semantic.difference(e.where("label < 5"), e, 8)
+
+
+@registered()
+def novelty_against(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "embeddings")
+    return semantic.against(e, semantic.baseline(e.where("label < 5")), ["label"])
+
+
+@registered()
+def ivf_pq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic.search(semantic.index(load(spark, sf_dir, "embeddings")), _vector(spark, sf_dir, 0))
+
+
+@registered()
+def recall_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, q = load(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 3)
+    return semantic.recall(semantic.search(semantic.index(e), q), vectors.top_k(e, q))
+
+
+@registered()
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic.stratified(_events(spark, sf_dir), "event_name", 100).select("event_id", "event_name")
+
+
+@registered(f"SELECT g AS group_id, COUNT(*) AS members, ROUND(AVG(label), 6) AS avg_cost, ROUND(AVG((label > 5)::INT), 6) AS error_rate, FIRST(vec_id ORDER BY score DESC, vec_id) AS exemplar FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY score DESC, g) AS r FROM ({_ANCHORED.replace('e.vec_id,', 'e.vec_id, e.label,')})) WHERE r = 1 GROUP BY g")
+def standing_group_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "embeddings").withColumns({"cost": F.col("label").cast("double"), "bad": F.col("label") > 5})
+    out = semantic.standing_groups(e, _anchors(spark, sf_dir), cost="cost", error="bad")
+    return out.withColumns({"avg_cost": F.round("avg_cost", 6), "error_rate": F.round("error_rate", 6)})
+
+
+@registered(f"SELECT vec_id, ROUND(score, 6) AS score FROM ({_SCORED.format(0)}) WHERE vec_id % 7 <> 3 ORDER BY score DESC, vec_id LIMIT 10")
+def standing_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two disjoint halves are merged, then every seventh vector is taken back."""
+    e, q = load(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 0)
+    state = semantic.StandingTopK(e.where("vec_id % 2 = 0"), q, 10)
+    state.merge(semantic.StandingTopK(e.where("vec_id % 2 = 1"), q, 10))
+    state.retract(e.where("vec_id % 7 = 3"))
+    return state.answer.withColumn("score", F.round("score", 6))
+
+
+# Typed merges, lineage, taint, budgets.
+
+
+@registered("SELECT o_custkey AS k, list_sort(list_distinct(list(o_orderkey) FILTER (o_orderstatus <> 'P' OR o_orderkey % 2 = 0))) AS v FROM orders GROUP BY ALL HAVING v IS NOT NULL AND len(v) > 0")
+def merge3_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's set of orders: the source adds O, the target adds even P, to what F there is."""
+    o = load(spark, sf_dir, "orders")
+    sets = lambda c: o.where(c).groupBy(F.col("o_custkey").alias("k")).agg(F.collect_set("o_orderkey").alias("v"))
+    f, p = "o_orderstatus = 'F'", "(o_orderstatus = 'P' and o_orderkey % 2 = 0)"
+    return memory.merge_sets(sets(f), sets(f"{f} or o_orderstatus = 'O'"), sets(f"{f} or {p}"), "k", "v").select("k", "v")
+
+
+@registered(
+    """SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 'target' WHEN o_orderkey % 3 = 0 THEN 'source' WHEN o_custkey % 2 = 0 THEN 'source' ELSE 'target' END AS winner,
+    CASE WHEN o_orderstatus = 'F' THEN 'target' ELSE CASE WHEN o_orderkey % 3 <> 0 AND o_custkey % 2 = 1 AND o_custkey % 4 = 1 THEN 'conflict' ELSE 'both' END END AS how FROM orders"""
+)
+def merge3_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F moved in the target alone; every third order's source claim starts after the target's has ended; methods decide the rest."""
+    o = load(spark, sf_dir, "orders")
+    claim = lambda who, start, end, method: F.struct(F.lit(who).alias("who"), start.cast("long").alias("start"), end.cast("long").alias("end"), method.alias("method"), F.lit(0.5).alias("confidence"))
+    third, odd = F.col("o_orderkey") % 3 == 0, F.col("o_custkey") % 2 == 1
+    base = claim("base", F.lit(0), F.lit(10), F.lit("stated"))
+    source = F.when(F.col("o_orderstatus") == "F", base).otherwise(claim("source", F.when(third, 20).otherwise(5), F.lit(30), F.when(odd, "stated").otherwise("verified")))
+    target = claim("target", F.lit(0), F.lit(10), F.when(F.col("o_custkey") % 4 == 3, "verified").otherwise("stated"))
+    side = lambda c: o.select(F.col("o_orderkey").alias("k"), c.alias("v"))
+    return memory.merge_claims(side(base), side(source), side(target), "k", "v").select("k", F.col("v.who").alias("winner"), "how")
+
+
+@registered("SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'O' AND year(o_orderdate) > 1996 AND o_orderkey % 5 <> 0")
+def divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.year("o_orderdate").alias("epoch"), "o_orderstatus")
+    return memory.divergence(o.where("o_orderstatus = 'O'"), 1996, o.where("k % 5 = 0"), "k").select("k")
+
+
+@registered("SELECT o_orderkey AS page, CASE WHEN o_orderstatus = 'O' AND o_custkey % 2 = 0 THEN 'both' WHEN o_orderstatus = 'O' THEN 'source' ELSE 'target' END AS side FROM orders WHERE o_orderstatus = 'O' OR o_custkey % 2 = 0")
+def page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = load(spark, sf_dir, "orders")
+    side = lambda c: o.select(F.col("o_orderkey").alias("page"), c.alias("h"))
+    base = F.xxhash64("o_orderkey")
+    return memory.page_diff(side(base), side(F.when(F.col("o_orderstatus") == "O", base.bitwiseXOR(F.lit(1))).otherwise(base)), side(F.when(F.col("o_custkey") % 2 == 0, base.bitwiseXOR(F.lit(2))).otherwise(base)), "page", "h")
+
+
+@registered("SELECT n_name AS child, r_name AS parent, n_nationkey::BIGINT AS at_epoch, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey + 100 END::BIGINT AS rewound_to, n_nationkey % 3 <> 0 AS active FROM nation JOIN region ON n_regionkey = r_regionkey")
+def lineage_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nation is forked from its region; every third one is rewound twice."""
+    n = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    row = lambda at, kind, seq: n.select(F.col("n_name").alias("child"), F.col("r_name").alias("parent"), at.cast("long").alias("at_epoch"), F.lit(kind).alias("kind"), F.lit(seq).alias("seq"), "n_nationkey")
+    k = F.col("n_nationkey")
+    log = row(k, "fork", 0).unionByName(row(k + 50, "rewind", 1).where("n_nationkey % 3 = 0")).unionByName(row(k + 100, "rewind", 2).where("n_nationkey % 3 = 0"))
+    return memory.lineage(log)
+
+
+_TAINTED = "WITH RECURSIVE t AS (SELECT o_orderkey AS node FROM orders WHERE o_custkey = 7 UNION SELECT o_orderkey FROM orders JOIN t ON o_orderkey // 2 = node AND o_orderkey > 0)"
+
+
+def _closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = load(spark, sf_dir, "orders")
+    edges = orders.where("o_orderkey > 0").select(F.expr("o_orderkey div 2").alias("parent"), F.col("o_orderkey").alias("child"))
+    return memory.tainted(orders.where("o_custkey = 7").select(F.col("o_orderkey").alias("node")), edges)
+
+
+@registered(f"{_TAINTED} SELECT o_orderkey AS node, CASE WHEN o_orderstatus = 'O' AND o_orderkey IN (FROM t) THEN 'Stale' WHEN o_orderstatus = 'O' THEN 'Asserted' ELSE 'Observed' END AS status FROM orders")
+def mark_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    is_claim = F.col("o_orderstatus") == "O"
+    claims = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), F.when(is_claim, "claim").otherwise("observation").alias("kind"), F.when(is_claim, "Asserted").otherwise("Observed").alias("status"))
+    return memory.mark_stale(claims, _closure(spark, sf_dir)).select("node", "status")
+
+
+@registered(f"{_TAINTED} SELECT COUNT(*) FILTER (o_orderkey NOT IN (FROM t)) AS entries, COUNT(*) FILTER (o_orderkey IN (FROM t)) AS invalidated FROM orders")
+def forget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), F.lit("Asserted").alias("status"))
+    left, claims = memory.forget(o, o, _closure(spark, sf_dir))
+    return left.agg(F.count("*").alias("entries")).crossJoin(claims.agg(F.sum((F.col("status") == "Invalidated").cast("long")).alias("invalidated")))
+
+
+@registered(f"{_TAINTED} SELECT CASE WHEN o_orderstatus = 'O' THEN '1-irreversible' ELSE '2-healed' END AS section, o_orderkey AS node FROM orders WHERE o_orderkey IN (FROM t)")
+def recall_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), "o_orderstatus", F.lit(False).alias("reversible"))
+    return memory.recall_report(_closure(spark, sf_dir), o.where("o_orderstatus = 'O'"), o.where("o_orderstatus <> 'O'")).select("section", "node")
+
+
+@registered(f"{_TAINTED} SELECT o_orderkey AS k FROM orders WHERE o_orderkey NOT IN (FROM t)")
+def taint_heals_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A standing answer after the rows that derive from customer 7's orders are taken out."""
+    orders = load(spark, sf_dir, "orders")
+    catalog = Catalog()
+    catalog.declare("orders", _ORDERS)
+    s = Standing(spark, catalog)
+    s.append("a", "orders", orders)
+    s.seal()
+    s.register("q", "SELECT o_orderkey AS k FROM orders")
+    edges = orders.where("o_orderkey > 0").select(F.expr("o_orderkey div 2").alias("parent"), F.col("o_orderkey").alias("child"))
+    memory.taint_and_heal(s, orders.where("o_custkey = 7").select(F.col("o_orderkey").alias("node")), edges, "orders", "o_orderkey", "a")
+    return s.read("q").drop(WEIGHT)
+
+
+@registered(
+    """WITH RECURSIVE e AS (SELECT doc_id, greatest((octet_length(encode(coalesce(text, ''))) + 3) // 4, 1) AS c, ROW_NUMBER() OVER (ORDER BY n_chars % 97 DESC NULLS LAST, doc_id) AS r FROM documents),
+    t AS (SELECT 0::BIGINT AS r, 5000::BIGINT AS room, NULL::BIGINT AS doc_id, 0::BIGINT AS c UNION ALL
+          SELECT e.r, CASE WHEN e.c <= t.room THEN t.room - e.c ELSE t.room END, CASE WHEN e.c <= t.room THEN e.doc_id END, e.c FROM t JOIN e ON e.r = t.r + 1)
+    SELECT doc_id AS key, c AS cost FROM t WHERE doc_id IS NOT NULL"""
+)
+def pack_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), memory.tokens(F.col("text")).alias("cost"), (F.col("n_chars") % 97).cast("double").alias("score"))
+    return memory.packed(docs, 5000).select("key", "cost")
+
+
+@registered("SELECT doc_id FROM documents WHERE lang IS NOT NULL AND lang NOT IN ('fr', 'es')")
+def influence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.influence(load(spark, sf_dir, "documents"), ["fr", "es"], "lang").select("doc_id")
+
+
+@registered("SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 'Replay' WHEN o_custkey % 3 = 0 THEN 'NotEligible' WHEN o_orderpriority LIKE '5-%' THEN 'Denied' WHEN o_custkey % 2 = 0 THEN 'SimulationFailed' ELSE 'Proposed' END AS outcome FROM orders")
+def action_gateway(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = load(spark, sf_dir, "orders")
+    requests = o.select(F.col("o_orderkey").alias("key"), F.lit("agent").alias("actor"), F.lit("ship").alias("action"), F.col("o_orderpriority").alias("resource"), F.lit("Asserted").alias("status"), F.when(F.col("o_custkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("invoice"))).alias("evidence"), (F.col("o_custkey") % 2 == 1).alias("simulated"))
+    rules = [memory.Rule("Allow", action="ship"), memory.Rule("Deny", resource="5-*")]
+    return memory.gateway(requests, o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("key")), rules).select(F.col("key").alias("k"), "outcome")
+
+
+@registered("SELECT o_custkey AS k, CASE MAX(CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 4 END) WHEN 1 THEN 'VerifiedSystem' WHEN 2 THEN 'Human' ELSE 'Untrusted' END AS label FROM orders GROUP BY ALL")
+def label_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("o_orderstatus") == "O", "VerifiedSystem").when(F.col("o_orderstatus") == "F", "Human").otherwise("Untrusted")
+    each = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.collect_set(label).alias("labels"))
+    return each.select("k", memory.combined_label(F.col("labels")).alias("label"))
+
+
+@registered("SELECT n_name AS node FROM nation WHERE n_regionkey = 1 AND n_nationkey <> 2")
+def active_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "nation").collect()  # the lineage of branches is a small table: 25 rows here
+    forks = [memory.Fork(r.n_name, str(r.n_regionkey), 0) for r in rows]
+    gone = frozenset(r.n_name for r in rows if r.n_nationkey == 2)
+    return spark.createDataFrame([(x,) for x in memory.descendants("1", forks, gone)], "node string")
+
+
+@registered("SELECT role, doc_id AS row_key, 'conversation' AS source_system, conv_id::VARCHAR AS source_record FROM (SELECT DISTINCT role, conv_id * 1000 + turn AS doc_id, conv_id FROM conversations)")
+def commit_derivations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn cites its conversation."""
+    c = load(spark, sf_dir, "conversations")
+    commit = c.select(F.lit("t").alias("tenant"), F.col("role").alias("branch"), F.lit("turns").alias("table_name"), (F.col("conv_id") * 1000 + F.col("turn")).alias("row_key"), F.array(F.struct(F.lit("conversation").alias("system"), F.col("conv_id").cast("string").alias("record"))).alias("sources"))
+    return external.derivations(commit).select(F.col("branch").alias("role"), "row_key", "source_system", "source_record")

@@ -29,7 +29,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", ORACLE_SQL)
 def test_query(spark, duck, name):
     got = QUERIES[name](spark, SF)
     want = duck.sql(ORACLE_SQL[name])
