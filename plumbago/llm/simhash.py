@@ -185,6 +185,14 @@ def tree(prints: np.ndarray, bits: int = BITS, names: np.ndarray | None = None)
     return np.concatenate(links)
 
 
+def _to_roots(links: np.ndarray) -> np.ndarray:
+    """Each member of a search tree linked to its root: different sets of one cluster mostly share the least members."""
+    root: dict[int, int] = {}
+    for member, near in links.tolist():
+        root[member] = root.get(near, near)
+    return np.array(list(root.items()), np.uint64).reshape(-1, 2)
+
+
 def quarters(mask: int) -> list[int]:
     """mask with one quarter more of the bits that it leaves free, in each of four ways."""
     free = [b for b in range(64) if not mask >> b & 1]
@@ -471,7 +479,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
         return [pa.RecordBatch.from_arrays([_signed(np.zeros(len(every), np.uint64)), _signed(every), _signed(np.full(len(every), first[0]))], names=["key", "w0", "b"])]
 
     def compared(groups: list) -> Iterator[pa.RecordBatch]:
-        found = np.unique(np.concatenate([tree(fp[:, 1:], differ, fp[:, 0]) for _, _, fp in groups]), axis=0)
+        found = np.unique(np.concatenate([_to_roots(tree(fp[:, 1:], differ, fp[:, 0])) for _, _, fp in groups]), axis=0)
         yield pa.RecordBatch.from_arrays([_signed(found[:, 0]), _signed(found[:, 1])], names=["a", "b"])
 
     spark = docs.sparkSession
