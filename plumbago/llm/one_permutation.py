@@ -113,22 +113,24 @@ def _bucket(bounds: list[int]) -> Column:
     return F.coalesce(F.aggregate(F.lit(steps), F.lit(0), move), F.lit(0))
 
 
-def followed(rows: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
-    """rows (with doc_id and text) and next_<c>, the value of each column c in the row that follows by id; the first follows the last.
+def followed(rows: DataFrame, columns: list[str], buckets: int | None = None, made: dict[str, Column] | None = None) -> DataFrame:
+    """rows (with doc_id and text), made, and next_<c>, the value of each column c in the row that follows by id; the first follows the last.
 
     Rows are dealt by ranges of ids, so that no task sees more than its range;
-    each range also gets a copy of the row that heads the next one. The driver
-    receives the ranges' bounds and their first ids, as many as `buckets`.
+    each range also gets a copy of the row that heads the next one, chosen by
+    id before the columns of made, which may be costly, are computed once a
+    row. The driver receives the ranges' bounds and their first ids, as many as
+    `buckets`.
     """
-    spark = rows.sparkSession
+    spark, made = rows.sparkSession, made or {}
     n = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 else None
     bucket = _bucket(sorted(set(found or [])))
     heads = rows.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id")).alias("h")).orderBy("bucket").collect()
     pairs = [(h.h.doc_id, before.bucket) for before, h in zip([heads[-1], *heads[:-1]], heads)] if heads else []
     targets = spark.createDataFrame(pairs, "head long, bucket int")
-    here = rows.withColumns({"bucket": bucket, "copy": F.lit(False)})
-    copies = rows.join(F.broadcast(targets), rows.doc_id.eqNullSafe(targets["head"])).drop("head").withColumn("copy", F.lit(True))
+    here = rows.withColumns({"bucket": bucket, "copy": F.lit(False), **made})
+    copies = rows.join(F.broadcast(targets), rows.doc_id.eqNullSafe(targets["head"])).drop("head").withColumns({"copy": F.lit(True), **made})
     # A copy comes last in its range, even where it comes from the first one.
     order = Window.partitionBy("bucket").orderBy("copy", F.col("doc_id").asc_nulls_first(), "text")
     return here.unionByName(copies).withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where("not copy").drop("bucket", "copy")
@@ -141,8 +143,7 @@ def edited(docs: DataFrame, shingle: int = SHINGLE_WORDS, id_col: str = "doc_id"
     as many of the first of the next document, or all it has. Columns: doc_id,
     text, n_chars, packed, edited, edited_packed, next_packed.
     """
-    rows = id_text(docs, id_col, text_col)
-    own = followed(rows.withColumn("packed", fingerprint(F.col("text"), shingle)), ["text", "packed"])
+    own = followed(id_text(docs, id_col, text_col), ["text", "packed"], made={"packed": fingerprint(F.col("text"), shingle)})
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     changed = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))

@@ -76,3 +76,23 @@ def line_chunks_removed(docs, chunks):
             left += body
         out[i] = "\n".join(left)
     return out
+
+
+def one_permutation(hashes, bins=256, bits=4, probes=12, pair_hash=None):
+    """The value of each bin of a set of signed 64-bit hashes: least of the bin, else of the bin it borrows from, low bits."""
+    import xxhash
+
+    least = {}
+    for h in hashes:
+        b = (h >> 56) + 128  # bins in the order of the signed hash
+        least[b] = min(least.get(b, h), h)
+    out = []
+    for b in range(bins):
+        at = b
+        if b not in least:
+            drawn = [xxhash.xxh32_intdigest(f"{b} {t}") % bins for t in range(probes)]
+            at = next((q for q in drawn if q in least), None)
+            if at is None:
+                at = min(least, key=lambda q: (pair_hash(b, q), q))
+        out.append(least[at] & ((1 << bits) - 1))
+    return out

@@ -67,3 +67,18 @@ def test_repeated_ids(spark):
 def test_native(spark):
     plan = one_permutation.edited(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_fingerprint_matches_plain_version(spark):
+    """Bins, densification and packing, from Spark's hash of words and windows alone."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, n)) for n in (0, 1, 4, 5, 6, 9, 40, 300, 3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    w = F.split("text", " ")
+    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 5), lambda i: F.xxhash64(*[F.xxhash64(F.get(w, i + k)) for k in range(5)]))
+    plain = F.when(F.col("text") == "", F.array(F.xxhash64(F.array().cast("array<bigint>")))).when(F.size(w) < 5, F.array(F.xxhash64(F.transform(w, lambda x: F.xxhash64(x))))).otherwise(windows)
+    rows = df.select("doc_id", plain.alias("h"), one_permutation.text_of(one_permutation.fingerprint(F.col("text"))).alias("f")).collect()
+    table = {(r.b, r.q): r.h for r in spark.range(256).crossJoin(spark.range(256).withColumnRenamed("id", "q")).select(F.col("id").cast("int").alias("b"), F.col("q").cast("int"), F.xxhash64(F.col("id").cast("int"), F.col("q").cast("int")).alias("h")).collect()}
+    for r in rows:
+        want = brute.one_permutation(r.h, pair_hash=lambda b, q: table[b, q])
+        assert r.f == "".join(f"{x:x}" for x in want), r.doc_id
