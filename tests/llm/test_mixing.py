@@ -98,3 +98,12 @@ def test_native(spark):
     mixture, rows = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet"))
     plan = mixing.taken(mixture, rows)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_of_any_name_pass_through(spark):
+    rows = [(i, f"w{i} " * (1 + i % 5), f"s{i % 2}", i, i, i, i, i, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, shard long, place long, m_id long, m_key long, row long, own long")
+    got = mixing.mixed_documents(df, 3)
+    assert got.columns == df.columns
+    out = [tuple(r) for r in got.collect()]
+    assert out and set(out) <= set(rows)
