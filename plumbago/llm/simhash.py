@@ -186,11 +186,18 @@ def tree(prints: np.ndarray, bits: int = BITS, names: np.ndarray | None = None)
 
 
 def _to_roots(links: np.ndarray) -> np.ndarray:
-    """Each member of a search tree linked to its root: different sets of one cluster mostly share the least members."""
+    """Each end of a link, linked to the least that the links lead to: different sets of one cluster mostly share the least members."""
     root: dict[int, int] = {}
-    for member, near in links.tolist():
-        root[member] = root.get(near, near)
-    return np.array(list(root.items()), np.uint64).reshape(-1, 2)
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in links.tolist():
+        a, b = find(root.setdefault(a, a)), find(root.setdefault(b, b))
+        root[max(a, b)] = min(a, b)
+    return np.array([(x, r) for x in root if (r := find(x)) != x], np.uint64).reshape(-1, 2)
 
 
 def quarters(mask: int) -> list[int]:
@@ -336,6 +343,8 @@ def linked_components(docs: DataFrame, shingle: int = 3, bits: int = BITS, id_co
 # Near-duplicates by a similarity: the same keys on longer fingerprints make candidates, the shingle sets decide.
 
 WORDS, TABLES, EXACT, NEAR, SPREAD = 8, 64, 10, 20, 5
+#: One in so many of the sets that meet under a key is compared first; what it links is one to all the others.
+EARLY = 16
 #: Shingle hashes that are compared with each other at once.
 BLOCK = 1 << 20
 
@@ -434,7 +443,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     more often). Among the rows of a key, only those with a neighbour within
     NEAR bits of the first word go on, and are compared by whole sketches, with
     SPREAD standard deviations allowed beyond the expected difference; the rows
-    of a key of more than MOST are all taken for candidates. Sketches with equal
+    of a key of more than MOST are all taken for candidates. One in EARLY of what
+    meets is compared first; the rest then only links what is still apart, so
+    that a large group does not give links for every key that its members share. Sketches with equal
     first words, or linked in this way, form a group; inside each group the
     shingle sets themselves are compared, and only those alike are linked.
     Equal sets are found by a 64-bit hash of the set.
@@ -479,7 +490,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
         return [pa.RecordBatch.from_arrays([_signed(np.zeros(len(every), np.uint64)), _signed(every), _signed(np.full(len(every), first[0]))], names=["key", "w0", "b"])]
 
     def compared(groups: list) -> Iterator[pa.RecordBatch]:
-        found = np.unique(np.concatenate([_to_roots(tree(fp[:, 1:], differ, fp[:, 0])) for _, _, fp in groups]), axis=0)
+        """The last column says what a row stands for; rows that all stand for one thing have nothing to link."""
+        apart = [fp for _, _, fp in groups if (fp[:, -1] != fp[0, -1]).any()]
+        found = _to_roots(np.concatenate([_NO_LINKS, *(tree(fp[:, 1:-1], differ, fp[:, -1]) for fp in apart)]))
         yield pa.RecordBatch.from_arrays([_signed(found[:, 0]), _signed(found[:, 1])], names=["a", "b"])
 
     spark = docs.sparkSession
@@ -490,22 +503,32 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     arrow_rows(spark, 10_000)
     keys_ = distinct.select(*columns).repartition(n, *columns).mapInArrow(keyed, "key long, mask long, w0 long")
     close = written(_by_key(keys_, ["w0"], neighbours, crowd, "key long, w0 long, b long").distinct(), "close-sketches")
-    whole = close.where("b is null").select("key", F.lit(0).cast("long").alias("mask"), "w0").join(distinct, "w0")
-    near = _by_key(whole, ["sketch", *columns], compared, lambda *_: None, "a long, b long")
     # Equal first words, and crowded keys, name sketches by their first word: all of them hang on the least sketch of it.
     by_word = written(distinct.groupBy("w0").agg(F.min("sketch").alias("b")), "first-words")
     same = distinct.join(by_word, "w0").where("sketch <> b").select(F.col("sketch").alias("a"), "b")
-    named = by_word.select(F.col("w0").alias("i"), F.col("b").alias("s"))
-    crowded = close.where("b is not null and w0 <> b").select("w0", F.col("b").alias("o"))
-    crowded = crowded.join(named, F.col("w0") == F.col("i")).select("o", F.col("s").alias("a")).join(named, F.col("o") == F.col("i")).select("a", F.col("s").alias("b"))
-    candidates = written(near.unionByName(same).unionByName(crowded).distinct(), "sketch-links")
-    for done in (close, by_word):
+    early = F.pmod(F.when(F.col("b").isNull(), F.col("key")).otherwise(F.xxhash64("b")), F.lit(EARLY)) == 0
+
+    def met(chosen: DataFrame, standing: DataFrame) -> DataFrame:
+        """Links (a, b) from chosen rows of close, between what sketches stand for (standing: sketch, its words, part)."""
+        whole = chosen.where("b is null").select("key", F.lit(0).cast("long").alias("mask"), "w0").join(standing, "w0")
+        near = _by_key(whole, ["sketch", *columns, "part"], compared, lambda *_: None, "a long, b long")
+        named = by_word.join(standing.select("sketch", "part"), F.col("b") == F.col("sketch")).select(F.col("w0").alias("i"), F.col("part").alias("s"))
+        crowded = chosen.where("b is not null and w0 <> b").select("w0", F.col("b").alias("o"))
+        crowded = crowded.join(named, F.col("w0") == F.col("i")).select("o", F.col("s").alias("a")).join(named, F.col("o") == F.col("i")).select("a", F.col("s").alias("b"))
+        return near.unionByName(crowded.where("a <> b")).distinct()
+
+    first = written(met(close.where(early), distinct.withColumn("part", F.col("sketch"))).unionByName(same), "early-links")
+    linked = components(first).select(F.col("node").alias("m"), "component")
+    standing = written(distinct.join(linked, F.col("sketch") == F.col("m"), "left").withColumn("part", F.coalesce("component", "sketch")).drop("m", "component"), "standing")
+    candidates = written(met(close.where(~early), standing), "sketch-links")
+    for done in (close, by_word, first):
         drop_written(done)
-    group = components(candidates).select(F.col("node").alias("sketch"), F.col("component").alias("root"))
+    linked = components(candidates).select(F.col("node").alias("m"), "component")
+    group = standing.join(linked, F.col("part") == F.col("m"), "left").select("sketch", F.coalesce("component", "part").alias("root"))
     arrow_rows(spark)
     firsts = prints.groupBy("name").agg(F.min(F.struct("doc_id", F.xxhash64(*columns).alias("sketch"), "n")).alias("f")).select("name", "f.*")
     placed = written(firsts.join(group, "sketch", "left").select("name", F.col("doc_id").alias("i"), "n", F.coalesce("root", "sketch").alias("root")), "groups")
-    for done in (distinct, candidates):
+    for done in (distinct, candidates, standing):
         drop_written(done)
     found = _alike_in_groups(texts, placed, similarity, shingle)
     named = _named(prints.select("doc_id", F.col("name").alias("fp")), found)
