@@ -342,9 +342,9 @@ def linked_components(docs: DataFrame, shingle: int = 3, bits: int = BITS, id_co
 
 # Near-duplicates by a similarity: the same keys on longer fingerprints make candidates, the shingle sets decide.
 
-WORDS, TABLES, EXACT, NEAR, SPREAD = 8, 64, 10, 20, 5
-#: One in so many of the sets that meet under a key is compared first; what it links is one to all the others.
-EARLY = 16
+WORDS, TABLES, EXACT, NEAR, SPREAD = 8, 64, 10, 28, 5
+#: So many tables are searched first; under a key of the others, what these link has nothing to look for in itself.
+EARLY = 4
 #: Shingle hashes that are compared with each other at once.
 BLOCK = 1 << 20
 
@@ -380,11 +380,12 @@ def _places() -> tuple[np.ndarray, np.ndarray]:
     return chosen[:, :23], chosen[:, 23:]
 
 
-def table_keys(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): for every table the codeword indices near its word, each with the table's exact bits."""
+def table_keys(sketches: np.ndarray, tables: range = range(TABLES)) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): for every one of the tables the codeword indices near its word, each with the table's exact bits."""
     bits = np.unpackbits(np.ascontiguousarray(sketches).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
     rows, out = [], []
-    for t, (golay, exact) in enumerate(zip(*_places())):
+    for t in tables:
+        golay, exact = (x[t] for x in _places())
         near = nearby(bits[:, golay] @ (1 << _ONES))
         r, c = np.nonzero(near >= 0)
         rows.append(r)
@@ -441,11 +442,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     of its angle over pi. A table finds a pair at 0.8 with chance 0.12; all miss
     it with less than 0.001 (more for sets of a few shingles, whose bits differ
     more often). Among the rows of a key, only those with a neighbour within
-    NEAR bits of the first word go on, and are compared by whole sketches, with
+    NEAR bits of the first word and a half (a pair at 0.8 differs in more with
+    chance 0.0001) go on, and are compared by whole sketches, with
     SPREAD standard deviations allowed beyond the expected difference; the rows
-    of a key of more than MOST are all taken for candidates. One in EARLY of what
-    meets is compared first; the rest then only links what is still apart, so
-    that a large group does not give links for every key that its members share. Sketches with equal
+    of a key of more than MOST are all taken for candidates. EARLY of the tables
+    are searched first. The rows of the others carry the part that these have
+    put their sketch in, and where all that would go on is one part, none does,
+    so that a large group is not fetched and compared again for every key that
+    its members share. Sketches with equal
     first words, or linked in this way, form a group; inside each group the
     shingle sets themselves are compared, and only those alike are linked.
     Equal sets are found by a 64-bit hash of the set.
@@ -464,29 +468,42 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
             size = pa.array([len(x) for x in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), _signed(name), size, *(_signed(s[:, k]) for k in range(WORDS))], names=["doc_id", "name", "n", *columns])
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only_cache()
-        for b in batches:
-            s = np.stack([c.to_numpy() for c in b.columns], axis=1)
-            for k in range(0, len(s), 500):
-                row, key = table_keys(s[k : k + 500].view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.zeros(len(key), np.int64)), pa.array(s[k : k + 500, 0][row])], names=["key", "mask", "w0"])
+    def keyed(tables: range):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows are the words of a sketch and its part, 0 where it is none with others."""
+            only_cache()
+            for b in batches:
+                s = np.stack([c.to_numpy() for c in b.columns], axis=1)
+                for k in range(0, len(s), 500):
+                    some = s[k : k + 500]
+                    row, key = table_keys(np.ascontiguousarray(some[:, :WORDS]).view(np.uint64), tables)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, np.zeros(len(key), np.int64), some[row, 0], some[row, 1] & 0xFFFFFFFF, some[row, WORDS])], names=["key", "mask", "w0", "half", "part"])
+
+        return run
+
+    def part_of(fp: np.ndarray) -> np.ndarray:
+        return np.where(fp[:, 2] == 0, fp[:, 0], fp[:, 2])
 
     def neighbours(groups: list) -> Iterator[pa.RecordBatch]:
-        """The rows with a neighbour, under a hash of their set: what meets under many keys is compared once."""
+        """The rows with a neighbour, if of several parts, under a hash of their set: what meets under many keys is compared once."""
         sets = {}
         for _, _, fp in groups:
-            links = tree(fp, NEAR)
+            part = part_of(fp)
+            links = tree(fp[:, :2], NEAR) if (part != part[0]).any() else _NO_LINKS
             if len(links):
                 met = np.unique(links)
-                sets[xxhash.xxh3_64_intdigest(met.tobytes())] = met
+                part = part[np.isin(fp[:, 0], met)]
+                if (part != part[0]).any():
+                    sets[xxhash.xxh3_64_intdigest(met.tobytes())] = met
         if sets:
             name = np.repeat(np.array(list(sets), np.uint64), [len(x) for x in sets.values()])
             met = np.concatenate(list(sets.values()))
             yield pa.RecordBatch.from_arrays([_signed(name), _signed(met), pa.nulls(len(met), pa.int64())], names=["key", "w0", "b"])
 
     def crowd(key: int, mask: int, parts: list, first: np.ndarray) -> list:
-        every = np.concatenate(parts)[:, 0]
+        """What is not of one part with the least row is to be linked with it."""
+        every = np.concatenate(parts)
+        every = every[part_of(every) != part_of(first[None])[0], 0]
         return [pa.RecordBatch.from_arrays([_signed(np.zeros(len(every), np.uint64)), _signed(every), _signed(np.full(len(every), first[0]))], names=["key", "w0", "b"])]
 
     def compared(groups: list) -> Iterator[pa.RecordBatch]:
@@ -501,15 +518,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     prints = written(texts.mapInArrow(sketches, "doc_id long, name long, n long, " + ", ".join(f"{c} long" for c in columns)), "sketches")
     distinct = written(prints.select(*columns).distinct().withColumn("sketch", F.xxhash64(*columns)), "distinct-sketches")
     arrow_rows(spark, 10_000)
-    keys_ = distinct.select(*columns).repartition(n, *columns).mapInArrow(keyed, "key long, mask long, w0 long")
-    close = written(_by_key(keys_, ["w0"], neighbours, crowd, "key long, w0 long, b long").distinct(), "close-sketches")
     # Equal first words, and crowded keys, name sketches by their first word: all of them hang on the least sketch of it.
-    by_word = written(distinct.groupBy("w0").agg(F.min("sketch").alias("b")), "first-words")
-    same = distinct.join(by_word, "w0").where("sketch <> b").select(F.col("sketch").alias("a"), "b")
-    early = F.pmod(F.when(F.col("b").isNull(), F.col("key")).otherwise(F.xxhash64("b")), F.lit(EARLY)) == 0
+    by_word = written(distinct.groupBy("w0").agg(F.min("sketch").alias("b"), F.count("*").alias("several")), "first-words")
+    same = distinct.join(by_word.where("several > 1"), "w0").where("sketch <> b").select(F.col("sketch").alias("a"), "b")
+
+    def close(sketches: DataFrame, tables: range, what: str) -> DataFrame:
+        """What meets under a key of these tables; sketches: their words, and the part that each is in, if with others."""
+        rows = sketches.repartition(n, *columns).mapInArrow(keyed(tables), "key long, mask long, w0 long, half long, part long")
+        return written(_by_key(rows, ["w0", "half", "part"], neighbours, crowd, "key long, w0 long, b long").distinct(), what)
 
     def met(chosen: DataFrame, standing: DataFrame) -> DataFrame:
-        """Links (a, b) from chosen rows of close, between what sketches stand for (standing: sketch, its words, part)."""
+        """Links (a, b) from rows of close, between what sketches stand for (standing: sketch, its words, part)."""
         whole = chosen.where("b is null").select("key", F.lit(0).cast("long").alias("mask"), "w0").join(standing, "w0")
         near = _by_key(whole, ["sketch", *columns, "part"], compared, lambda *_: None, "a long, b long")
         named = by_word.join(standing.select("sketch", "part"), F.col("b") == F.col("sketch")).select(F.col("w0").alias("i"), F.col("part").alias("s"))
@@ -517,11 +536,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
         crowded = crowded.join(named, F.col("w0") == F.col("i")).select("o", F.col("s").alias("a")).join(named, F.col("o") == F.col("i")).select("a", F.col("s").alias("b"))
         return near.unionByName(crowded.where("a <> b")).distinct()
 
-    first = written(met(close.where(early), distinct.withColumn("part", F.col("sketch"))).unionByName(same), "early-links")
-    linked = components(first).select(F.col("node").alias("m"), "component")
-    standing = written(distinct.join(linked, F.col("sketch") == F.col("m"), "left").withColumn("part", F.coalesce("component", "sketch")).drop("m", "component"), "standing")
-    candidates = written(met(close.where(~early), standing), "sketch-links")
-    for done in (close, by_word, first):
+    met_first = close(distinct.select(*columns, F.lit(0).cast("long").alias("part")), range(EARLY), "early-close")
+    first = written(met(met_first, distinct.withColumn("part", F.col("sketch"))).unionByName(same), "early-links")
+    linked = components(first).select(F.col("node").alias("m"), F.col("component").alias("tied"))
+    standing = written(distinct.join(linked, F.col("sketch") == F.col("m"), "left").withColumn("part", F.coalesce("tied", "sketch")).drop("m"), "standing")
+    met_then = close(standing.select(*columns, F.coalesce("tied", F.lit(0)).cast("long").alias("part")), range(EARLY, TABLES), "late-close")
+    candidates = written(met(met_then, standing), "sketch-links")
+    for done in (met_first, met_then, by_word, first):
         drop_written(done)
     linked = components(candidates).select(F.col("node").alias("m"), "component")
     group = standing.join(linked, F.col("part") == F.col("m"), "left").select("sketch", F.coalesce("component", "part").alias("root"))

@@ -69,3 +69,28 @@ def test_columns_of_any_name_pass_through(spark):
     got = simhash.first_of_each(df)
     assert got.columns == df.columns
     assert sorted(map(tuple, got.collect()), key=str) == [(1, "a b c d e f", 1, 2, 3), (None, None, 0, 0, 0)]
+
+
+def test_a_group_is_not_fetched_again_for_every_key(spark, monkeypatch):
+    """Near copies that the first tables have linked do not go on under the keys of the others."""
+    rng = random.Random(3)
+    w = [f"{rng.randrange(10**6)}" for _ in range(150)]
+    docs = []
+    for k in range(300):
+        v = list(w)
+        for _ in range(rng.randrange(3)):
+            v[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        docs.append((k, " ".join(v)))
+    rows, real = [], simhash.written
+
+    def counted(df, what):
+        out = real(df, what)
+        if "close" in what:
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute.least_reachable(range(len(docs)), lambda a, b: jaccard(docs[a][1], docs[b][1]) >= 0.8)
+    print("rows fetched", rows)
+    assert sum(rows) < 20 * len(docs)
