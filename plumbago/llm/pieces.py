@@ -36,6 +36,8 @@ from plumbago.llm.common import PART, Recent, arrow_rows, id_text, only_cache
 SPACE = "▁"
 #: Bytes of stretches that a worker remembers, and the longest of them in characters.
 REMEMBERED, REMEMBERED_CHARS = 96 << 20, 48
+#: Stretches that are merged side by side, and a rank behind all others.
+SIDE_BY_SIDE, NONE = 4096, np.iinfo(np.int32).max
 _loaded: dict[str, "Pieces"] = {}
 
 
@@ -72,6 +74,15 @@ class Pieces:
             self.surface[i] = piece.replace(SPACE, " ").encode()
         for byte, i in self.byte_id.items():
             self.surface[i] = bytes([byte])
+        self.char_id = np.full(0x110000, -1, np.int32)
+        for piece, i in self.id_of.items():
+            if len(piece) == 1:
+                self.char_id[ord(piece)] = i
+        self.rank = np.full(len(model.pieces), NONE, np.int32)
+        self.rank[list(self.id_of.values())] = np.unique([self.order[x] for x in self.id_of], return_inverse=True)[1]
+        pairs = {self.id_of[p[:k]] << 32 | self.id_of[p[k:]]: i for p, i in self.id_of.items() for k in range(1, len(p)) if p[:k] in self.id_of and p[k:] in self.id_of}
+        self.pairs = np.array(sorted(pairs) or [-1], np.int64)
+        self.union = np.array([pairs.get(x, -1) for x in self.pairs.tolist()], np.int32)
         self.stretch = re.compile(self._stretches())
         self.ids = Recent(REMEMBERED)
         self.differing: set[str] = set()
@@ -122,6 +133,56 @@ class Pieces:
                     out.append(i)
         return out
 
+    def _unions(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece that each pair of pieces makes, and its rank; negative numbers make none."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        union = np.where(self.pairs[at] == key, self.union[at], -1)
+        return union, np.where(union < 0, NONE, self.rank[union])
+
+    def merge_many(self, texts: list[str]) -> list[list[int]]:
+        """What merge gives for each text: the agendas of short texts whose characters are all pieces are worked off side by side, a row each."""
+        out: list[list[int]] = [[]] * len(texts)
+        short = sorted((i for i, x in enumerate(texts) if 0 < len(x) <= REMEMBERED_CHARS), key=lambda i: len(texts[i]))
+        alone = [i for i, x in enumerate(texts) if not 0 < len(x) <= REMEMBERED_CHARS]
+        for k in range(0, len(short), SIDE_BY_SIDE):
+            some = short[k : k + SIDE_BY_SIDE]
+            sizes = np.array([len(texts[i]) for i in some])
+            width = int(sizes[-1])
+            s = np.full((len(some), width + 1), -1, np.int32)
+            held = np.arange(width + 1) < sizes[:, None]
+            s[held] = self.char_id[np.frombuffer("".join([texts[i] for i in some]).encode("utf-32-le", "surrogatepass"), "<u4")]
+            odd = (held & (s < 0)).any(axis=1)
+            s[odd] = -1
+            union, rank = self._unions(s[:, :-1], s[:, 1:])
+            after = np.tile(np.arange(1, width + 2), (len(some), 1))
+            before = np.tile(np.arange(-1, width), (len(some), 1))
+            row = np.arange(len(some))
+            while True:
+                j = rank[row].argmin(axis=1)  # the first of the best, as from the left
+                go = rank[row, j] < NONE
+                row, j = row[go], j[go]
+                if not len(row):
+                    break
+                x, gone = union[row, j], after[row, j]
+                then = after[row, gone]
+                s[row, j], s[row, gone] = x, -1
+                after[row, j], before[row, then] = then, j
+                here = gone < width
+                rank[row[here], gone[here]] = NONE
+                union[row, j], rank[row, j] = self._unions(x, s[row, then])
+                h = before[row, j]
+                r, h, x = row[h >= 0], h[h >= 0], x[h >= 0]
+                union[r, h], rank[r, h] = self._unions(s[r, h], x)
+            ends = np.cumsum((s >= 0).sum(axis=1)).tolist()
+            ids = s[s >= 0].tolist()
+            for i, a, b in zip(some, [0, *ends], ends):
+                out[i] = ids[a:b]
+            alone += [some[r] for r in np.flatnonzero(odd)]
+        for i in alone:
+            out[i] = self.merge(texts[i])
+        return out
+
     def unmerge(self, ids: list[int]) -> str:
         """The text of ids, its leading space kept."""
         return b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
@@ -129,7 +190,7 @@ class Pieces:
     def learn(self, stretches: set[str]) -> None:
         """Merge stretches not met before, and check all of them against the library at once."""
         new = list(stretches)
-        ids = [self.merge(x.replace(" ", SPACE)) for x in new]
+        ids = self.merge_many([x.replace(" ", SPACE) for x in new])
         texts = [self.unmerge(x) for x in ids]
         # The library puts a space mark first. Behind a line end, which no piece contains, a stretch stands as in a text.
         theirs = self.library.encode(["\n" + x for x in new], num_threads=1)

@@ -35,3 +35,12 @@ def test_agenda_without_cuts():
     p = pieces.load(PATH)
     text = "▁the▁quick,▁brown▁fox's▁den"
     assert p.merge(text) == p.library.encode(text[1:].replace("▁", " "))
+
+
+def test_merging_side_by_side_equals_one_by_one():
+    import random
+
+    p, rng = pieces.load(PATH), random.Random(2)
+    some = [x for x in p.id_of if len(x) < 8]
+    texts = ["", "a", "日", "\U0010ffff", "aaaa", "x" * 100, "▁▁▁", *("".join(rng.choices(some, k=rng.randrange(1, 9))) for _ in range(9000))]
+    assert p.merge_many(texts) == [p.merge(x) for x in texts]
