@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from plumbago.errors import Refused
 from plumbago.sources.tables import written
 
-MOST_ROUNDS = 64
+MOST_ROUNDS, SLICES = 64, 64
 
 
 @dataclass(frozen=True)
@@ -307,17 +310,31 @@ def tokens(text: Column) -> Column:
     return F.greatest(F.ceil(F.octet_length(F.coalesce(text, F.lit(""))) / 4), F.lit(1)).cast("long")
 
 
-def packed(entries: DataFrame, budget: int, key: str = "key", cost: str = "cost", most: int = 100_000) -> DataFrame:
-    """The entries taken into a budget in the order (score falling, key): each that still fits, going on after one that doesn't.
+def packed(entries: DataFrame, budget: int, key: str = "key", cost: str = "cost") -> DataFrame:
+    """The entries taken into a budget in the order (score falling, nulls last, then key): each that still fits, going on after one that doesn't.
 
-    Every entry costs one at least, so no more than `budget` can be taken, and only entries up to the budget's size
-    matter; more than `most` of these in one answer are refused, so that one row holds them.
+    Costs are whole numbers. Once an entry doesn't fit, no later one of its cost does; so only the first budget // cost of
+    each cost can be taken. These, some budget * ln(budget) however many entries there are, pass through one task as a
+    stream. They are chosen in slices of the keys first, so that a frequent cost is not sorted in one place.
     """
-    ok = entries.where((F.col(cost) <= budget) & (F.col(cost) > 0))
-    if ok.limit(most + 1).count() > most:
-        raise Refused("TooManyEntries", str(most))
-    one = ok.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), F.col(key).alias("k"), F.col(cost).cast("long").alias("c")))).alias("all"))
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast(f"array<{dict(entries.dtypes)[key]}>").alias("keys"))
-    fit = lambda a, e: F.when(e["c"] <= a["left"], F.struct((a["left"] - e["c"]).alias("left"), F.concat(a["keys"], F.array(e["k"])).alias("keys"))).otherwise(a)
-    taken = one.select(F.posexplode(F.aggregate("all", start, fit)["keys"]).alias("place", "__taken"))
-    return entries.join(taken, entries[key] == F.col("__taken")).drop("__taken")
+    order = [F.col("score").desc_nulls_last(), F.col(key).asc_nulls_last(), F.col("__c").asc()]
+    rows = entries.where((F.col(cost) <= budget) & (F.col(cost) > 0)).withColumns({"__c": F.col(cost).cast("long"), "__s": F.pmod(F.xxhash64(key), F.lit(SLICES))})
+    for by in (["__c", "__s"], ["__c"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        rows = rows.withColumn("__r", place).where(F.col("__r") * F.col("__c") <= budget)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, n = budget, 0
+        for b in batches:
+            at = []
+            for k, c in enumerate(b.column("__c").to_pylist()):
+                if c <= left:
+                    left -= c
+                    at.append(k)
+            got = b.take(pa.array(at, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(got.column(c) for c in names), pa.array(range(n, n + len(at)), pa.int32())], names=[*names, "place"])
+            n += len(at)
+
+    names = entries.columns
+    one = rows.repartition(1).sortWithinPartitions(*order).select(*names, "__c")
+    return one.mapInArrow(take, StructType([*entries.schema, StructField("place", IntegerType())])).where(F.col(key).isNotNull())

@@ -111,3 +111,18 @@ def test_routes_follow_the_tenant(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "tenant_id string, n int")
     got = {r.n: r.shard for r in ev.routed(df, 4).collect()}
     assert got[1] == got[3] and all(0 <= x < 4 for x in got.values())
+
+
+def test_packing_many_entries(spark):
+    """More than the 100,000 entries that were refused once; repeated keys, a frequent cost and missing scores."""
+    rows = [(k % 119_999, None if k % 11 == 3 else float(k * 7919 % 997), 1 if k % 3 == 0 else k % 800) for k in range(120_000)]
+    left, want = 300, []
+    for k, s, c in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0], r[2])):
+        if 0 < c <= left:
+            left -= c
+            want.append((k, s, c))
+    items = spark.createDataFrame(rows, "key long, score double, cost int").repartition(5)
+    got = memory.packed(items, 300).orderBy("place").collect()
+    assert [tuple(r)[:3] for r in got] == want and [r.place for r in got] == list(range(len(want)))
+    few = spark.createDataFrame([(1, None, 6), (2, 1.0, 5), (None, 9.0, 4), (3, 0.5, 1)], "key long, score double, cost int")
+    assert [(r.key, r.place) for r in memory.packed(few, 10).orderBy("place").collect()] == [(2, 1), (3, 2)]
