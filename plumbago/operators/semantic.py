@@ -24,6 +24,8 @@ MOST_INPUT_BYTES, BASELINE_CENTRES, MOST_SAMPLE = 32 << 10, 16, 50_000
 #: The public 64-bit FNV-1a hash, and the second seed that decides signs.
 FNV_OFFSET, FNV_PRIME, SIGN_SEED = 0xCBF29CE484222325, 0x100000001B3, 0x9E3779B9
 WORD = re.compile(r"[^\W_]+")
+#: ASCII letters in lower case and digits as they are, all else a space; and the texts whose words are held at once.
+ASCII_WORDS, TEXTS_AT_ONCE = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else 32 for c in range(256)), 256
 
 
 # Embedding.
@@ -52,9 +54,75 @@ def embed(text: str, dim: int = 64) -> list[float]:
     return (v / np.float32(n)).tolist()
 
 
+class _Ids(dict):
+    """Numbers of words in the order they are first met."""
+
+    def __missing__(self, word: bytes | str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _fnv_on(h: np.ndarray, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """States h after the bytes data[at : at + size] of each; the longest first, so that a step takes a prefix."""
+    order = np.argsort(-size, kind="stable")
+    h, at = h[order], at[order]
+    prime = np.array(FNV_PRIME & np.iinfo(h.dtype).max, h.dtype)
+    for j, n in enumerate(len(h) - np.cumsum(np.bincount(size))[:-1]):
+        h[:n] = (h[:n] ^ data[at[:n] + j]) * prime
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
+def embed_all(texts: list[bytes | None], dim: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors that embed gives for UTF-8 texts, as rows, and which are valid; each distinct word is hashed once, all in step.
+
+    The multiplier is odd, so the lowest bit of a hash is that of its start and bytes: the second seed only turns it over.
+    Where the slots are a power of two the lower bits of the hash are enough. Weights are halves, so their sums are exact.
+    """
+    known, words, counts = _Ids(), [], []
+    for raw in texts:
+        raw = (raw or b"")[:MOST_INPUT_BYTES]
+        got = raw.translate(ASCII_WORDS).split() if raw.isascii() else WORD.findall(raw.decode("utf-8", "ignore"))
+        counts.append(len(got))
+        words += map(known.__getitem__, got)
+    low = [w if isinstance(w, bytes) else w.lower().encode() for w in known]
+    data, size = np.frombuffer(b"".join(low), np.uint8), np.fromiter(map(len, low), np.int64, len(low))
+    at, word = np.cumsum(size) - size, np.array(words, np.int64)
+    kind = np.uint16 if dim & (dim - 1) == 0 and dim <= 1 << 16 else np.uint64
+    one = _fnv_on(np.full(len(low), FNV_OFFSET & np.iinfo(kind).max, kind), data, at, size)
+    row = np.repeat(np.arange(len(texts)), counts)
+    pair = np.flatnonzero(row[1:] == row[:-1])
+    joined = _fnv_on(one, np.frombuffer(b"_", np.uint8), np.zeros_like(size), np.ones_like(size))
+    then = word[pair + 1]
+    two = _fnv_on(joined[word[pair]], data, at[then], size[then])
+    total = np.zeros(len(texts) * dim)
+    for h, r, weight in ((one[word], row, 1.0), (two, row[pair], 0.5)):
+        signed = np.where(h & 1 != SIGN_SEED & 1, -weight, weight) if len(h) else np.zeros(0)
+        total += np.bincount(r * dim + (h % np.array(dim, np.uint64)).astype(np.int64), signed, len(total))
+    v = total.reshape(-1, dim)
+    n = np.sqrt((v**2).sum(axis=1))
+    ok = n >= vectors.LEAST_NORM
+    return v.astype(np.float32) / np.where(ok, n, 1).astype(np.float32)[:, None], ok
+
+
 def with_embedding(rows: DataFrame, text: str = "body", dim: int = 64, embedder: Callable[[str], list[float]] | None = None, vector: str = "embedding") -> DataFrame:
-    """rows with the vector of a text column; null where it has no words. embedder: any function of a text, for other spaces."""
-    make = embedder or (lambda t: embed(t, dim))
+    """rows with the vector of a text column; null where it has no words. embedder: any function of a text, for other spaces.
+
+    The function is called nondeterministic, as Spark would otherwise move conditions on the vector below it and embed
+    every text twice; conditions on other columns should come before.
+    """
+
+    @F.arrow_udf("array<float>")
+    def of_bytes(texts: pa.Array) -> pa.Array:
+        parts, valid = [np.zeros((0, dim), np.float32)], [np.zeros(0, bool)]
+        for k in range(0, len(texts), TEXTS_AT_ONCE):
+            v, ok = embed_all(texts.slice(k, TEXTS_AT_ONCE).to_pylist(), dim)
+            parts.append(v)
+            valid.append(ok)
+        flat, ok = np.concatenate(parts), np.concatenate(valid)
+        ends = pa.array(np.arange(0, flat.size + 1, dim, dtype=np.int32))
+        return pa.ListArray.from_arrays(ends, pa.array(flat.ravel()), mask=pa.array(~ok))
 
     @F.pandas_udf("array<float>")
     def of(texts):
@@ -62,13 +130,15 @@ def with_embedding(rows: DataFrame, text: str = "body", dim: int = 64, embedder:
 
         def one(t):
             try:
-                return make(t) if t is not None else None
+                return embedder(t) if t is not None else None
             except Refused:
                 return None
 
         return pd.Series([one(t) for t in texts])
 
-    return rows.withColumn(vector, of(F.col(text)))
+    if embedder is None:
+        return rows.withColumn(vector, of_bytes.asNondeterministic()(F.substring(F.col(text).cast("binary"), 1, MOST_INPUT_BYTES)))
+    return rows.withColumn(vector, of.asNondeterministic()(F.col(text)))
 
 
 # Clustering.

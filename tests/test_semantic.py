@@ -107,3 +107,27 @@ def test_standing_refusals(spark, vecs):
 def test_rows_only_queries_run(spark):
     for name in set(queries.QUERIES) - set(queries.ORACLE_SQL):
         assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0 or name == "semantic_diff", name
+
+
+ODD = [None, "", " -- ", "_", "Big, BIG cat!", "x_y__z 3a", "É e\u0301 İstanbul ΑΣ'Β ΣΑΣ ẞ K", "日本語 テスト", "a\u00a0b\x00c\x1fd", "x" * 40_000, "né " * 20_000, "ab " * 20_000, "é" * 40_000, "a b " * 3 + "ñ"]
+
+
+def test_embedding_in_bulk_is_that_of_one_text(spark):
+    """Bit for bit, and in time: with_embedding hashed about 0.2 MB of text a second."""
+    texts = ODD + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").collect()]
+    for dim in (64, 16, 48):
+        v, ok = semantic.embed_all([None if t is None else t.encode() for t in texts], dim)
+        for t, x, valid in zip(texts, v, ok):
+            try:
+                want = semantic.embed(t or "", dim)
+            except Refused:
+                want = None
+            assert (x.tolist() if valid else None) == want, t
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, body string")
+    got = {r.k: r.embedding for r in semantic.with_embedding(df).collect()}
+    v, ok = semantic.embed_all([None if t is None else t.encode() for t in texts])
+    assert got == {k: v[k].tolist() if ok[k] else None for k in range(len(texts))}
+    raw = [t.encode() for t in texts if t] * 10
+    began = time.process_time()
+    semantic.embed_all(raw)
+    assert sum(map(len, raw)) / (time.process_time() - began) > 1.5e6
