@@ -467,8 +467,7 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def semantic_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event SQL with a similarity, documents standing for events."""
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.col("source").alias("event_name"), F.col("text").alias("body"), F.col("n_chars").alias("event_time"))
-    rows = semantic.with_embedding(docs)
-    return event_sql.run(rows, "SELECT event_id, event_name, score FROM events WHERE event_time > 500 AND embedding ≈≈ 'an old house by the river' LIMIT 5", embed=semantic.embed)
+    return event_sql.run(docs, "SELECT event_id, event_name, score FROM events WHERE event_time > 500 AND embedding ≈≈ 'an old house by the river' LIMIT 5", embed=semantic.embed, embedded=semantic.with_embedding)
 
 
 @registered()

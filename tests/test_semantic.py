@@ -8,6 +8,7 @@ import pytest
 from plumbago import queries
 from plumbago.errors import Refused
 from plumbago.operators import semantic, vectors
+from plumbago.plans import event_sql
 
 SF = "/root/testdata/sf0.01"
 
@@ -131,3 +132,18 @@ def test_embedding_in_bulk_is_that_of_one_text(spark):
     began = time.process_time()
     semantic.embed_all(raw)
     assert sum(map(len, raw)) / (time.process_time() - began) > 1.5e6
+
+
+def test_texts_are_embedded_once(spark):
+    """A condition on the score made the plan embed every text twice."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        seen.add(1)
+        return semantic.embed(text)
+
+    df = spark.createDataFrame([(k, f"word {k}", k) for k in range(100)], "event_id long, body string, event_time long")
+    embedded = lambda rows: semantic.with_embedding(rows, embedder=counted)
+    out = event_sql.run(df, "SELECT event_id, score FROM events WHERE event_time >= 60 AND embedding ≈≈ 'word 77' LIMIT 1", embed=semantic.embed, embedded=embedded).collect()
+    assert out[0].event_id == 77 and seen.value == 40
+    assert vectors.top_k(embedded(df), semantic.embed("word 5"), 1, "event_id").collect()[0].event_id == 5 and seen.value == 140
