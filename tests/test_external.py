@@ -115,7 +115,7 @@ def test_routes_follow_the_tenant(spark):
 
 def test_packing_many_entries(spark):
     """More than the 100,000 entries that were refused once; repeated keys, a frequent cost and missing scores."""
-    rows = [(k % 119_999, None if k % 11 == 3 else float(k * 7919 % 997), 1 if k % 3 == 0 else k % 800) for k in range(120_000)]
+    rows = [(k % 159_999, None if k % 11 == 3 else float(k * 7919 % 997), 1 if k % 3 == 0 else k % 400) for k in range(160_000)]
     left, want = 300, []
     for k, s, c in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0], r[2])):
         if 0 < c <= left:
