@@ -1,5 +1,4 @@
 import re
-import time
 import zlib
 
 import numpy as np
@@ -69,18 +68,17 @@ def test_equal_and_null_ids_and_empty_table(spark):
     assert token_files.checksums(spark, token_files.encode_to_files(df.limit(0), PATH)).count() == 0
 
 
-def test_words_are_cut_and_learnt_cheaply():
-    """New words took as long as the library with offsets and its cache, and more."""
-    words = token_files.WordTokenizer(PATH)
+def test_words_are_cut_and_learnt_without_offsets():
+    """The library's encode makes offsets that nothing here reads; the ids have to be the same without."""
+    words, library = token_files.WordTokenizer(PATH), Tokenizer.from_file(PATH)
+
+    class NoOffsets:
+        encode_batch_fast = staticmethod(words.library.encode_batch_fast)
+
+    words.library = NoOffsets()
     for text in [x or "" for x in ODD] + [". a.b,c;;d!? 9:8\u00e9.x\n!a."]:
         low = text.encode().lower()
         assert words.cut(text.encode()) == re.sub(rb"(?<=[A-Za-z0-9])([.,;:!?])", rb" \1", low).split()
-    new = [f"{chr(97 + k % 26)}{k * 7919 % 100003:x}qu{chr(98 + k % 23)}ent{k:o}".encode() for k in range(20_000)]
-    library = Tokenizer.from_file(PATH)
-    began = time.process_time()
-    for k in range(0, len(new), 200):
-        library.encode(words.mark.join(w.decode() for w in new[k : k + 200]), add_special_tokens=False)
-    plain, began = time.process_time() - began, time.process_time()
+    new = [f"{chr(97 + k % 26)}{k * 7919 % 100003:x}qu{chr(98 + k % 23)}ent{k:o}\u00e9".encode() for k in range(1001)]
     words.learn(new)
-    assert time.process_time() - began < 0.85 * plain
-    assert all(words.ids[w] == words.pack(library.encode(w.decode(), add_special_tokens=False).ids) for w in new[::50])
+    assert all(words.ids[w] == words.pack(library.encode(w.decode(), add_special_tokens=False).ids) for w in new)
