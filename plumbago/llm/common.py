@@ -7,7 +7,7 @@ A null text counts as the empty text; a null id is kept and sorts first.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,8 +77,13 @@ class Recent(dict):
         self[key] = value
         self.held += size + self.EACH
 
-    def missing(self, keys: set) -> set:
-        """The keys that have to be added; all others can be read until the next call."""
+    def add_all(self, entries: Iterable, n: int, size: int) -> None:
+        """Add n keys and values of `size` bytes in all."""
+        self.update(entries)
+        self.held += size + n * self.EACH
+
+    def missing(self, keys: Iterable) -> set:
+        """The distinct keys that have to be added; all others can be read until the next call."""
         if self.held > self.half:
             self.old, self.held = dict(self), 0
             self.clear()

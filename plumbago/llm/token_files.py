@@ -18,7 +18,8 @@ file; the manifest has one row per file, with the tokens before it.
 
 The tokenizers library encodes; where its pre-tokenizer is the known one that
 never crosses white space, each distinct word is encoded once while a worker
-remembers it, and texts are cut into words a part at a time.
+remembers it, plain ones by the library's merges alone, and texts are cut into
+words and put together from their ids a block at a time, by arrays.
 
 Edge cases: null and empty texts give the end id alone; very long texts one
 long frame; equal ids stay separate documents; an empty table gives no file
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -47,9 +49,12 @@ from plumbago.llm.common import PART, Recent, arrow_rows, fresh_path, id_text, i
 INDEX_MAGIC, TABLE_MAGIC, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Bytes of words that a worker remembers, and the longest of them.
 REMEMBERED, REMEMBERED_WORD = 96 << 20, 48
+#: Bytes of text whose words are looked up at a time.
+BLOCK = 16 * PART
 MANIFEST = "path string, part int, n_docs long, n_tokens long"
-#: Of each byte: 1 for ASCII letters and digits, 2 for the marks that are cut off behind them.
-CUT_KINDS = np.array([1 if chr(c).isalnum() and c < 128 else 2 if chr(c) in ".,;:!?" else 0 for c in range(256)], np.uint8)
+SPACES = b" \t\n\r\v\f"
+#: Of each byte: 1 for ASCII letters and digits, 2 for the marks that are cut off behind them, 3 for white space.
+CUT_KINDS = bytes(1 if chr(c).isalnum() and c < 128 else 2 if chr(c) in ".,;:!?" else 3 if c in SPACES else 0 for c in range(256))
 _loaded: dict[str, "WordTokenizer"] = {}
 
 
@@ -57,14 +62,73 @@ _loaded: dict[str, "WordTokenizer"] = {}
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+class PlainWords:
+    """Ids of words of plain characters, by the library's model alone.
+
+    Plain are the Latin letters from U+00AA to U+024F, and the ASCII characters
+    that the normaliser leaves alone but white space and controls. None of them
+    joins with a neighbour in NFC, so the normaliser, the pattern and the byte
+    level can be taken character by character, as the library gives them for
+    each; only the merges are left to it. A piece ends at its one id with the
+    end-of-word suffix.
+    """
+
+    def __init__(self, library, spec: dict):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
+
+        suffix, vocab = spec["model"]["end_of_word_suffix"], spec["model"]["vocab"]
+        self.shown: dict[int, str] = {}
+        letters = ""
+        for c in [*map(chr, range(0x21, 0x7F)), *filter(str.isalpha, map(chr, range(0xAA, 0x250)))]:
+            beside = "a" if c.isalpha() else ""
+            text = library.normalizer.normalize_str(beside + c + beside) if library.normalizer else beside + c + beside
+            pieces = [x for x, _ in library.pre_tokenizer.pre_tokenize_str(text)]
+            shown = pieces[0][len(beside) : len(pieces[0]) - len(beside)]
+            if len(pieces) == 1 and shown.isascii() == c.isascii() and (shown == c or not c.isascii()) and all(x in vocab and x + suffix in vocab for x in shown):
+                self.shown[ord(c)] = shown
+                letters += c if beside else ""
+        self.letters = re.compile(f"[ {letters}]+")
+        self.word = re.compile(f"[{re.escape(''.join(map(chr, self.shown)))}]+")
+        self.pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^0-9{letters}]+")
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[k for x, k in vocab.items() if x.endswith(suffix)]] = True
+        self.model = Tokenizer(library.model)
+        self.model.pre_tokenizer = CharDelimiterSplit(" ")
+
+    @staticmethod
+    def knows(spec: dict) -> bool:
+        """Whether the tokenizer does nothing but what is taken apart here; its pattern is WORD_PATTERN."""
+        plain, model = spec["normalizer"] or {}, spec["model"]
+        steps = plain.get("normalizers", [plain])
+        known = all(x in ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}) for x in steps)
+        level = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])[1:]
+        known = known and len(level) == 1 and (level[0]["type"], level[0]["add_prefix_space"], level[0]["use_regex"]) == ("ByteLevel", False, False)
+        return known and model["type"] == "BPE" and bool(model["end_of_word_suffix"]) and not any(model[x] for x in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+
+    def encode(self, words: list[str], width: int) -> tuple[bytes, list[int]] | None:
+        """The words' ids, one after another, and where those of each end, in bytes; None if ends of pieces can't be told."""
+        text, last = " ".join(words), None
+        if not self.letters.fullmatch(text):
+            pieces = list(map(self.pieces.findall, words))
+            text, last = " ".join(map(" ".join, pieces)), np.cumsum(list(map(len, pieces))) - 1
+        text = text if text.isascii() else text.translate(self.shown)
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, f"<u{width}")
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * width
+        if len(ends) != (len(words) if last is None else last[-1] + 1):
+            return None
+        return ids.tobytes(), (ends if last is None else ends[last]).tolist()
+
+
 class WordTokenizer:
     """Ids of whole texts, each distinct word encoded once.
 
     The pattern matches no white space, and splits ASCII letters and digits
     from a following mark of punctuation; so words and such marks are encoded
     apart, in ASCII lower case where the normaliser lower-cases anyway. New
-    words are encoded many at a time, joined by a special token, without the
-    library's own cache, which words that are all new would only fill.
+    words are encoded many at a time, without the library's own cache, which
+    words that are all new would only fill: plain ones as PlainWords does,
+    others joined by a special token.
     """
 
     def __init__(self, path: str):
@@ -85,6 +149,7 @@ class WordTokenizer:
         self.specials = [x["content"].encode().lower() for x in marks]
         self.mark, self.mark_id = (marks[0]["content"], marks[0]["id"]) if marks else ("", -1)
         self.ids = Recent(REMEMBERED)
+        self.plain = PlainWords(self.library, spec) if self.by_word and PlainWords.knows(spec) else None
         if self.by_word and hasattr(self.library.model, "_resize_cache"):
             self.library.model._resize_cache(0)
 
@@ -96,6 +161,8 @@ class WordTokenizer:
 
     def learn(self, new: Iterable[bytes]) -> None:
         new = list(new)
+        if self.plain is not None:
+            new = self.learn_plain(new)
         for k in range(0, len(new), 200):
             part, at = new[k : k + 200], 0
             ids = np.array([*self.encode(self.mark.join([w.decode() for w in part])), self.mark_id], f"<u{self.width}")
@@ -104,25 +171,66 @@ class WordTokenizer:
                 self.ids.add(w, every[at:end], end - at + len(w))
                 at = end + self.width
 
+    def learn_plain(self, new: list[bytes]) -> list[bytes]:
+        """Learn the plain ones of the words; returns the others."""
+        alike: dict[tuple[bool, bool], list[str]] = {}  # letters alone and ASCII alone take the shortest way
+        other, is_plain = [], self.plain.word.fullmatch
+        for w in b"\n".join(new).decode().split("\n") if new else []:
+            if is_plain(w):
+                alike.setdefault((w.isalpha(), w.isascii()), []).append(w)
+            else:
+                other.append(w.encode())
+        for words in alike.values():
+            for k in range(0, len(words), 200):
+                part = words[k : k + 200]
+                keys = " ".join(part).encode().split(b" ")
+                done = self.plain.encode(part, self.width)
+                if done is None:
+                    other += keys
+                    continue
+                every, ends = done
+                self.ids.add_all(zip(keys, [every[x:y] for x, y in zip([0, *ends], ends)], strict=True), len(keys), len(every) + sum(map(len, keys)))
+        return other
+
     def cut(self, text: bytes) -> list[bytes]:
-        raw = np.frombuffer(text.lower() if self.lower else text, np.uint8)
-        kinds = CUT_KINDS[raw]
-        return np.insert(raw, np.flatnonzero((kinds[:-1] == 1) & (kinds[1:] == 2)) + 1, 32).tobytes().split()
+        return self.words(text)[0].to_pylist()
+
+    def words(self, text: bytes) -> tuple[pa.BinaryArray, np.ndarray]:
+        """The words of a text, and where each begins."""
+        text = text.lower() if self.lower else text
+        kinds = np.frombuffer(text.translate(CUT_KINDS), np.uint8)
+        space = kinds == 3
+        parted = (kinds[:-1] == 1) & (kinds[1:] == 2)
+        starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1] | parted])[: len(space)])
+        ends = np.flatnonzero(~space & np.concatenate([space[1:] | parted, [True]])[: len(space)]) + 1
+        places = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(text.translate(None, SPACES))]), starts
+
+    def encode_parts(self, parts: list[bytes]) -> list[bytes]:
+        """The packed ids of each of some parts of texts; each distinct word is looked up once."""
+        words, starts = self.words(b"\n".join(parts))
+        words = words.dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = self.ids.missing(distinct)
+        self.learn(new)
+        ids = pa.array(map(self.ids.__getitem__, distinct), pa.binary(), size=len(distinct)).take(words.indices)
+        for w in new:
+            if len(w) > REMEMBERED_WORD:
+                del self.ids[w]
+        _, places, packed = ids.buffers()
+        begins = np.cumsum([0] + [len(x) + 1 for x in parts])
+        at = np.frombuffer(places, np.int32)[np.searchsorted(starts, begins)].tolist() if len(ids) else [0] * len(begins)
+        packed = memoryview(packed) if packed else b""
+        return [bytes(packed[x:y]) for x, y in zip(at, at[1:])]
 
     def batch(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        cut: list[tuple[int, list[bytes]]] = []
+        cut: list[tuple[int, bytes]] = []
         held = 0
 
         def join() -> None:
-            new = self.ids.missing(set().union(*(x for _, x in cut)))
-            self.learn(new)
-            known = self.ids.__getitem__
-            for k, x in cut:
-                out[k] += b"".join(map(known, x))
-            for w in new:
-                if len(w) > REMEMBERED_WORD:
-                    del self.ids[w]
+            for (k, _), ids in zip(cut, self.encode_parts([x for _, x in cut]), strict=True):
+                out[k] += ids
 
         for k, text in enumerate(texts):
             raw = text.encode()
@@ -131,9 +239,9 @@ class WordTokenizer:
                 out[k] = self.pack(self.encode(text))
                 continue
             for part in in_parts(raw):
-                cut.append((k, self.cut(part)))
+                cut.append((k, part))
                 held += len(part)
-                if held > 4 * PART:
+                if held > BLOCK:
                     join()
                     cut, held = [], 0
         join()
@@ -227,6 +335,20 @@ class TokenFiles:
     manifest: list[tuple[str, int, int]]
 
 
+def gathered(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """The batches in order, as many together as it takes to hold `size` bytes."""
+    held: list[pa.RecordBatch] = []
+    most = size
+    for b in batches:
+        held.append(b)
+        most -= b.nbytes
+        if most <= 0:
+            yield pa.Table.from_batches(held)
+            held, most = [], size
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> TokenFiles:
     """Encode every text of docs and write ids to files under folder, in ascending id order.
 
@@ -240,7 +362,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, id_col:
         words, task, out = load(tokenizer), TaskContext.get(), None
         only_cache("words", words.ids.forget)
         end = words.pack([end_id])
-        for b in batches:
+        for b in gathered(batches, BLOCK):
             for i, ids in zip(b.column(0).to_pylist(), words.batch(b.column(1).to_pylist())):
                 if out is None:
                     out = FrameWriter(folder, f"tokens-{task.partitionId():06d}.zst", words.width, task.taskAttemptId())

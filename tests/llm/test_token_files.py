@@ -82,3 +82,28 @@ def test_words_are_cut_and_learnt_without_offsets():
     new = [f"{chr(97 + k % 26)}{k * 7919 % 100003:x}qu{chr(98 + k % 23)}ent{k:o}\u00e9".encode() for k in range(1001)]
     words.learn(new)
     assert all(words.ids[w] == words.pack(library.encode(w.decode(), add_special_tokens=False).ids) for w in new)
+
+
+def test_plain_words_are_learnt_by_the_merges_alone():
+    """Normaliser and pattern cost most of a new word; what they do to a plain one is known."""
+    words, library = token_files.WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    whole, words.library = words.library, None
+    letters = "ab\u00e9\u00c8\u00df\u00d1\u0141\u017f\u01c4\u00aa\u00b5"
+    new = {f"{a}{m}{b}{k:x}".encode() for k, (a, b) in enumerate((a, b) for a in letters for b in letters) for m in ("", "'s", "'ve", "'l", "&&&", "!?.", "42", "a" * 60)}
+    new |= {a.encode() for a in letters} | {b"'", b"''t", b"</w>", b"7", b"###"}
+    words.learn(new)
+    assert all(words.ids[w] == words.pack(library.encode(w.decode(), add_special_tokens=False).ids) for w in new)
+    odd = ["e\u0301", "\u0130x", "\u65e5\u672c", "\u212a", "a\u00a0b", "\u00b2", "\x1c", "=\u0338", "ABC's", "'S"]
+    words.library = whole
+    words.learn(x.encode() for x in odd)
+    assert all(words.ids[x.encode()] == words.pack(library.encode(x, add_special_tokens=False).ids) for x in odd)
+
+
+def test_texts_are_put_together_over_any_blocks(monkeypatch):
+    library, texts = Tokenizer.from_file(PATH), [x or "" for x in ODD] + ["", "one two\vthree", " one", "two. ", "\n"]
+    for size in (1, 40, token_files.BLOCK):
+        monkeypatch.setattr(token_files, "BLOCK", size)
+        words = token_files.WordTokenizer(PATH)
+        for _ in range(2):
+            assert words.batch(texts) == [words.pack(library.encode(x, add_special_tokens=False).ids) for x in texts]
+        assert words.batch([]) == [] and words.batch(["", ""]) == [b"", b""]
